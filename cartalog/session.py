@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ BROADCAST_ROWS = 200_000
 
 def local_session(app: str = "cartalog", cpus: str | int = "*", shuffle: int = 8) -> SparkSession:
     """A session on this machine, for tests and bench."""
-    return (
+    return ship(
         SparkSession.builder.appName(app)
         .master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -27,7 +30,24 @@ def local_session(app: str = "cartalog", cpus: str | int = "*", shuffle: int = 8
     )
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once per context, so that Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if not getattr(context, "_cartalog_shipped", False):
+        root, packed = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, path.relative_to(root.parent))
+        # Only the driver reads this file; executors fetch it from there.
+        target = Path(tempfile.mkdtemp(prefix="cartalog-package-")) / "cartalog-package.zip"
+        target.write_bytes(packed.getvalue())
+        context.addPyFile(str(target))
+        context._cartalog_shipped = True
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
