@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from cartalog.functions.blanks import trim
-from cartalog.session import broadcast_if_small
+from cartalog.session import broadcast_if_small, cut
 
 #: Letters that look like a Latin letter, as (script, letters, the Latin letters they look like).
 LOOK_ALIKE = (
@@ -89,19 +89,21 @@ def visual_forms(df: DataFrame, text: str) -> DataFrame:
     """
     texts = df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
     plain = F.col("text").rlike(f"^{PLAIN}*$")
-    points = texts.where(~plain).select("text", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
+    # Rows of code points carry a number in place of their text, which may be long.
+    odd = cut(texts.where(~plain).withColumn("id", F.monotonically_increasing_id()))
+    points = odd.select("id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
     spread = points.join(F.broadcast(_mapping_table(df.sparkSession)), "ch", "left")
     kept = F.array(F.struct(F.lit(0).alias("sub"), F.col("ch").alias("part"), F.lit(0).alias("class")))
-    parts = spread.select("text", "pos", F.explode(F.coalesce("parts", kept)).alias("p")).select("text", "pos", "p.sub", "p.part", "p.class")
+    parts = spread.select("id", "pos", F.explode(F.coalesce("parts", kept)).alias("p")).select("id", "pos", "p.sub", "p.part", "p.class")
     # A segment is a letter with the marks that follow it.
-    in_order = Window.partitionBy("text").orderBy("pos", "sub")
+    in_order = Window.partitionBy("id").orderBy("pos", "sub")
     segments = parts.withColumn("segment", F.sum((F.col("class") == 0).cast("int")).over(in_order))
-    joined = segments.groupBy("text", "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class", "pos", "sub", "part"))), lambda p: p["part"]), "").alias("raw"))
+    joined = segments.groupBy("id", "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class", "pos", "sub", "part"))), lambda p: p["part"]), "").alias("raw"))
     composed = joined.select("raw").where("length(raw) > 1").distinct().withColumn("whole", _compose("raw"))
-    whole = joined.join(broadcast_if_small(composed), "raw", "left").select("text", "segment", F.coalesce("whole", "raw").alias("whole"))
-    rebuilt = whole.groupBy("text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "whole"))), lambda s: s["whole"]), "").alias("form"))
+    whole = joined.join(broadcast_if_small(composed), "raw", "left").select("id", "segment", F.coalesce("whole", "raw").alias("whole"))
+    rebuilt = whole.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "whole"))), lambda s: s["whole"]), "").alias("form"))
     # Texts of which nothing is left have no code points to be rebuilt from.
-    odd = texts.where(~plain).join(rebuilt, "text", "left").select("text", trim(F.coalesce("form", F.lit(""))).alias("form"))
+    odd = odd.join(rebuilt, "id", "left").select("text", trim(F.coalesce("form", F.lit(""))).alias("form"))
     return texts.where(plain).select("text", trim(F.col("text")).alias("form")).unionByName(odd)
 
 
