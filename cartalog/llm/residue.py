@@ -97,7 +97,7 @@ BESIDE = (
     r"the (?:map|page|board|view) (?:cannot|can not|can't) be (?:shown|displayed|loaded)\b.{0,40}|(?:coming soon|under construction|im aufbau|en construction)",
 )
 
-_WEB = r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
+_WEB = r"(?:https?://|www\.)\S+|(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})+|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
 _DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}(?:t[0-9:.]+z?)?\b|\b[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}\b"
 _ID = r"\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{6,}\b|\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b"
 
