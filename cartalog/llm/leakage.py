@@ -27,9 +27,9 @@ LEAST_WORDS = 24
 LEAST_PLACE = 8
 #: A term in at most so many items is rare; of every stretch of an item of WINDOW words, the KEPT rarest are looked up in any case.
 RARE_ITEMS, WINDOW, KEPT = 3, 12, 4
-#: Hits on close diagonals, in all and of terms with a rare word, that make a document worth an alignment; how far apart close ones are.
-LEAST_HITS, LEAST_RARE_HITS, DRIFT = 4, 1, 12
-#: A word is rare if it is in so small a share of documents and of items; so is any number. So much of a place's rare words must match.
+#: Hits on close diagonals, one of them of a term with a rare word, that make a document worth an alignment; how far apart close ones are.
+LEAST_HITS, DRIFT = 4, 12
+#: A word is rare if it is in so small a share of documents without such hits, and of items; so is any number. So much of a place's rare words must match.
 RARE_SHARE, RARE_ITEM_SHARE, RARE_MATCHED = 0.01, 0.03, 0.6
 #: What a word put in, left out or changed costs, in matching words.
 PENALTY = 2
@@ -153,30 +153,33 @@ def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, it
     texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     texts = cut(spread(texts).mapInArrow(encode, f"doc {doc_kind}, words array<int>").where("size(words) >= 3"))
 
-    # How many documents each test word is in, over all documents.
-    seen = texts.select(F.explode(F.array_distinct("words")).alias("word")).where("word >= 0").groupBy("word").count()
+    # The index of the training texts: postings of the test terms, joined with the test items' own.
+    lookup = F.broadcast(spark.createDataFrame(_seed_rows(coded, size), "term bigint, item int, at int"))
+    at = F.sequence(F.lit(1), F.size("words") - 2)
+    word = lambda k: F.element_at("words", k).cast("bigint")
+    triples = F.transform(at, lambda k: F.when((word(k) >= 0) & (word(k + 1) >= 0) & (word(k + 2) >= 0), (word(k) * size + word(k + 1)) * size + word(k + 2)))
+    postings = texts.select("doc", F.posexplode(triples).alias("pos", "term")).where("term is not null")
+    hits = postings.join(lookup, "term").select("doc", "item", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
+    bands = F.array(F.floor(F.col("diagonal") / DRIFT) * 2, F.floor((F.col("diagonal") + DRIFT // 2) / DRIFT) * 2 + 1)
+    banded = hits.select("doc", "item", "at", F.explode(bands).alias("band")).groupBy("doc", "item", "band").agg(F.collect_set("at").alias("ats"))
+    dense = cut(banded.where(F.size("ats") >= LEAST_HITS).select("doc", "item", "ats"))
+
+    # How many documents each test word is in, of all that no item may be in: leaks, however many, make none of their words common.
+    others = texts.join(dense.select("doc").distinct(), "doc", "left_anti")
+    seen = others.select(F.explode(F.array_distinct("words")).alias("word")).where("word >= 0").groupBy("word").count()
     frequency = np.zeros(size)
     for row in seen.collect():  # one row per test word
         frequency[row["word"]] = row["count"]
-    total = texts.count()
     in_items = np.zeros(size)
     for words in coded:
         in_items[np.unique(words)] += 1
-    rare = (frequency <= max(RARE_SHARE * total, 2)) & (in_items <= max(RARE_ITEM_SHARE * len(coded), 2))
+    rare = (frequency <= max(RARE_SHARE * others.count(), 2)) & (in_items <= max(RARE_ITEM_SHARE * len(coded), 2))
     rare |= np.array([w[0].isdigit() for w in sorted(numbers)])
 
-    # The index of the training texts: postings of the test terms. Stock phrases hit one another everywhere; terms with a rare word do not.
-    seeds = [(term, k, p, bool(rare[coded[k][p : p + 3]].any())) for term, k, p in _seed_rows(coded, size)]
-    lookup = F.broadcast(spark.createDataFrame(seeds, "term bigint, item int, at int, rare boolean"))
-    at = F.sequence(F.lit(1), F.size("words") - 2)
-    word = lambda k: F.element_at("words", k).cast("bigint")
-    triples = F.transform(at, lambda k: F.when((word(k) >= 0) & (word(k + 1) >= 0) & (word(k + 2) >= 0), (word(k) * size + word(k + 1)) * size + word(k + 2)))
-    postings = texts.select("doc", F.posexplode(triples).alias("pos", "term")).where("term is not null")
-    hits = postings.join(lookup, "term").select("doc", "item", "at", "rare", (F.col("pos") - F.col("at")).alias("diagonal"))
-    bands = F.array(F.floor(F.col("diagonal") / DRIFT) * 2, F.floor((F.col("diagonal") + DRIFT // 2) / DRIFT) * 2 + 1)
-    banded = hits.select("doc", "item", "at", "rare", F.explode(bands).alias("band")).distinct()
-    counted = banded.groupBy("doc", "item", "band").agg(F.count(F.lit(1)).alias("n"), F.count_if("rare").alias("rare"))
-    pairs = counted.where((F.col("n") >= LEAST_HITS) & (F.col("rare") >= LEAST_RARE_HITS)).select("doc", "item").distinct()
+    # Stock phrases hit one another everywhere; terms with a rare word do not.
+    telling = [(k, [p for p in range(len(words) - 2) if rare[words[p : p + 3]].any()]) for k, words in enumerate(coded)]
+    kept = dense.join(F.broadcast(spark.createDataFrame(telling, "item int, telling array<int>")), "item").where(F.arrays_overlap("ats", "telling"))
+    pairs = kept.select("doc", "item").distinct()
     by_doc = pairs.groupBy("doc").agg(F.collect_set("item").alias("items"))  # at most the bounded number of items
     rare_sent = spark.sparkContext.broadcast(rare)
 
