@@ -20,7 +20,7 @@ from cartalog.session import broadcast_if_small, cut
 #: Single signs that separate values, among them full-width ones, tabs and line ends.
 SIGNS = ";,/|&+；，、｜／＆＋\\t\\n\\r\\u000b\\u000c\\u0085\\u2028\\u2029"
 #: Words that join the last values of a list, in the corpus' languages.
-WORDS = ("und", "and", "et", "sowie", "y", "e")
+WORDS = ("und", "and", "et", "sowie")
 #: Opening and closing quotation marks; a closing one doubled inside is text.
 QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("„", "“”"), ("«", "»"), ("»", "«"), ("‘", "’"), ("‚", "‘’"), ("‹", "›"), ("＂", "＂"))
 
