@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -56,19 +56,21 @@ def _spread(ch: str) -> str:
     return "".join(_spread(chr(int(p, 16))) for p in parts)
 
 
-@cache
-def mappings() -> pd.DataFrame:
+def mappings() -> pa.Table:
     """(ch, parts): what each character that is not itself comes apart into, look-alikes included; parts as structs of place, character, class."""
     alike = {a: b for _, odd, plain in LOOK_ALIKE for a, b in zip(odd, plain, strict=True)}
-    rows = []
+    chars, parts = [], []
     for code in range(sys.maxunicode + 1):
         if 0xD800 <= code <= 0xDFFF:
             continue
         ch = chr(code)
-        parts = "".join(alike.get(p, p) for p in _spread(ch))
-        if parts != ch or unicodedata.combining(ch):
-            rows.append((ch, [{"sub": k, "part": p, "class": unicodedata.combining(p)} for k, p in enumerate(parts)]))
-    return pd.DataFrame(rows, columns=["ch", "parts"])
+        spread = "".join(alike.get(p, p) for p in _spread(ch))
+        if spread != ch or unicodedata.combining(ch):
+            chars.append(ch)
+            parts.append([(k, p, unicodedata.combining(p)) for k, p in enumerate(spread)])
+    kind = pa.list_(pa.struct([("sub", pa.int32()), ("part", pa.string()), ("class", pa.int32())]))
+    rows = [[{"sub": k, "part": p, "class": c} for k, p, c in own] for own in parts]
+    return pa.table({"ch": pa.array(chars, type=pa.string()), "parts": pa.array(rows, type=kind)})
 
 
 @F.pandas_udf(StringType())
@@ -78,7 +80,7 @@ def _compose(segments: pd.Series) -> pd.Series:
 
 
 def _mapping_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(mappings(), "ch string, parts array<struct<sub:int,part:string,class:int>>")
+    return spark.createDataFrame(mappings())
 
 
 def visual_forms(df: DataFrame, text: str) -> DataFrame:

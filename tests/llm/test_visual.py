@@ -34,7 +34,7 @@ def test_pairs(spark):
 def test_against_plain_python_on_the_tables(spark, sf):
     from cartalog.llm.visual import mappings
 
-    parts = {r.ch: [(p["class"], p["part"]) for p in r.parts] for r in mappings().itertuples()}
+    parts = {r["ch"]: [(p["class"], p["part"]) for p in r["parts"]] for r in mappings().to_pylist()}
 
     def form(text):
         out, marks = [], []
