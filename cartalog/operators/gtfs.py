@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartalog.functions.strings import filter_words
 from cartalog.functions.times import WEEKDAYS
+from cartalog.operators.query import dense_ids
 
 
 def stop_edges(stop_times: DataFrame) -> DataFrame:
@@ -87,8 +88,8 @@ def bus_relations(relations: DataFrame, members: DataFrame) -> dict[str, DataFra
     first = served.groupBy("ref").agg(F.min("relid").alias("relid")).select("relid")
     kept = served.join(first, "relid", "left_semi")
     agency = F.coalesce(F.nullif("operator", F.lit("")), "network")
-    agencies = kept.select(agency.alias("agency_name")).distinct().withColumn("agency_id", F.dense_rank().over(Window.orderBy("agency_name")))
-    routes = kept.select(agency.alias("agency_name"), F.col("relid").alias("route_id"), F.col("ref").alias("route_short_name"), F.col("name").alias("route_long_name"), F.lit(3).alias("route_type")).join(F.broadcast(agencies), "agency_name").drop("agency_name")
+    agencies = dense_ids(kept.select(agency.alias("agency_name")), "agency_name", "agency_id").withColumn("agency_id", (F.col("agency_id") + 1).cast("int"))
+    routes = kept.select(agency.alias("agency_name"), F.col("relid").alias("route_id"), F.col("ref").alias("route_short_name"), F.col("name").alias("route_long_name"), F.lit(3).alias("route_type")).join(agencies, "agency_name").drop("agency_name")
     trips = kept.select(F.col("relid").alias("trip_id"), F.col("relid").alias("route_id"))
     calls = stops.join(kept.select("relid"), "relid", "left_semi").select(F.col("relid").alias("trip_id"), F.col("ref").alias("stop_id"), F.row_number().over(Window.partitionBy("relid").orderBy("pos")).alias("stop_sequence"))
     return {"agency": agencies, "routes": routes, "trips": trips, "stop_times": calls}

@@ -204,10 +204,13 @@ def points_in_regions(points: DataFrame, key: str, lat: str, lon: str, regions:
     else:
         parts, sizes = parts.withColumn("block", F.lit(0)), {0: total} if total else {}
     spark, out = points.sparkSession, None
-    for number, count in sorted(sizes.items()):
-        if count > 4 * block:  # many triangles on one spot
-            raise ValueError(f"{count} triangles in one block; {block} are meant")
-        rows = parts.where(F.col("block") == number).select("region", "ax", "ay", "bx", "by", "cx", "cy").toArrow()
+    # Triangles heaped on one spot make a large range; it is shared out by hash.
+    shares = [(number, k, n) for number, count in sorted(sizes.items()) for n in [max(1, count // (2 * block))] for k in range(n)]
+    for number, k, n in shares:
+        own = parts.where((F.col("block") == number) & (F.pmod(F.xxhash64("region"), F.lit(n)) == k))
+        rows = own.select("region", "ax", "ay", "bx", "by", "cx", "cy").toArrow()
+        if not rows.num_rows:
+            continue
         tree = Hierarchy(rows.column("region").to_numpy(), np.stack([rows.column(c).to_numpy() for c in ("ax", "ay", "bx", "by", "cx", "cy")], axis=1))
         sent = spark.sparkContext.broadcast(tree)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,22 @@ FIRST_HALF, DOUBLINGS = 0.00005, 100
 AREA_METRES = {"country": 50_000, "state": 10_000, "city": 1_000, "suburb": 500, "district": 500, "postcode": 200, "zip": 200, "street": 50, "housenumber": 20}
 
 
+#: Targets of a request that every partition of points is held against at once.
+MOST_TARGETS = 10_000
+
+
+def _blocks(targets: DataFrame) -> list[DataFrame]:
+    """A request's targets in blocks of a bounded number, each fit to be sent to all executors."""
+    count = targets.count()
+    shares = max(1, -(-count // (MOST_TARGETS // 2))) if count > MOST_TARGETS else 1
+    return [F.broadcast(targets.where(F.pmod(F.xxhash64("target"), F.lit(shares)) == k) if shares > 1 else targets) for k in range(shares)]
+
+
+def _against(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows beside every target, block by block: a stated request against all rows."""
+    return reduce(DataFrame.unionByName, [rows.join(block) for block in _blocks(targets)])
+
+
 def in_bounding_box(points: DataFrame, hi_lat: float, hi_lon: float, lo_lat: float, lo_lon: float) -> DataFrame:
     """Points in a box given by its upper left and lower right corners; one that crosses the 180th meridian has the left one farther east.
 
@@ -45,19 +62,19 @@ def boxes_join(points: DataFrame, boxes: DataFrame, cell: float = 0.1) -> DataFr
 def nearest_expanding(points: DataFrame, targets: DataFrame, key: str = "verid") -> DataFrame:
     """(target, key, lat, lon): as boxes double around each target, the closest of the first that is not empty, by degrees of latitude and longitude.
 
-    targets: (target, tlat, tlon), a bounded request; they are broadcast, and one pass keeps the best point per target and partition.
+    targets: (target, tlat, tlon), a request; blocks of it are broadcast, and a pass keeps the best point per target and partition.
     """
     far = F.greatest(F.abs(F.col("lat") - F.col("tlat")), F.abs(F.col("lon") - F.col("tlon")))
     step = F.when(far <= FIRST_HALF, 0).otherwise(F.ceil(F.log2(far / FIRST_HALF)))
     rank = F.struct(step.alias("step"), manhattan(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")).alias("far"), F.col(key).alias("key"), F.col("lat").alias("lat"), F.col("lon").alias("lon"))
-    best = points.join(F.broadcast(targets)).where(step < DOUBLINGS).groupBy("target").agg(F.min(rank).alias("best"))
+    best = _against(points, targets).where(step < DOUBLINGS).groupBy("target").agg(F.min(rank).alias("best"))
     return best.select("target", F.col("best.key").alias(key), "best.lat", "best.lon")
 
 
 def nearest(points: DataFrame, targets: DataFrame, key: str = "verid") -> DataFrame:
     """(target, key, metres): the closest point on the sphere, the smallest key of several; targets as for nearest_expanding()."""
     rank = F.struct(haversine(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")).alias("metres"), F.col(key).alias("key"))
-    best = points.join(F.broadcast(targets)).groupBy("target").agg(F.min(rank).alias("best"))
+    best = _against(points, targets).groupBy("target").agg(F.min(rank).alias("best"))
     return best.select("target", F.col("best.key").alias(key), "best.metres")
 
 
@@ -94,14 +111,14 @@ def nearest_join(points: DataFrame, targets: DataFrame, key: str = "verid", cell
 def reverse_geocode(tags_table: DataFrame, places: DataFrame, targets: DataFrame, metres: Mapping[str, float] = AREA_METRES) -> DataFrame:
     """(target, area, value): of each kind of area, the value at the closest object that has it, if it is close enough.
 
-    tags_table: (objectid, key, value); places: (objectid, lat, lon); targets: (target, tlat, tlon), a bounded request.
+    tags_table: (objectid, key, value); places: (objectid, lat, lon); targets: (target, tlat, tlon), a request.
     """
     area = tags.area_prefix(F.col("key"))
     have = tags_table.where(tags.is_address_decodable(F.col("key"))).select("objectid", area.alias("area"), "value").join(places, "objectid")
     far = haversine(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon"))
     most = F.create_map(*[F.lit(x) for pair in metres.items() for x in (pair[0], float(pair[1]))])
     rank = F.struct(far.alias("metres"), F.col("objectid").alias("objectid"), F.col("value").alias("value"))
-    best = have.join(F.broadcast(targets)).where(far <= most[F.col("area")]).groupBy("target", "area").agg(F.min(rank).alias("best"))
+    best = _against(have, targets).where(far <= most[F.col("area")]).groupBy("target", "area").agg(F.min(rank).alias("best"))
     return best.select("target", "area", F.col("best.value").alias("value"))
 
 
