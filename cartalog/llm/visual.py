@@ -116,7 +116,8 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     Distinct strings are paired first, records only then, so records of one string never meet. Other columns play no part.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("text")).where("k is not null and text is not null").distinct()
-    forms = visual_forms(rows, "text").where("form <> ''")
+    # Forms are read four times below, and are made once.
+    forms = cut(visual_forms(rows, "text").where("form <> ''"))
     several = forms.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
     strings = forms.join(several, "form")
     pairs = strings.select("form", F.col("text").alias("text_a")).join(strings.select("form", F.col("text").alias("text_b")), "form").where("text_a < text_b")
