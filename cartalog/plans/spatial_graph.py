@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartalog.api import MapFile, Service, map_info_rows
 from cartalog.functions import codec, geo, tags, times
 from cartalog.functions.curve import peano
 from cartalog.operators import graph, gtfs, spatial, tiles
@@ -225,3 +226,33 @@ register(
     "WITH g AS (SELECT user_id, ts, CASE WHEN ts < LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k",
     lambda t: sessions(t("events")).select("user_id", c("start").cast("timestamp_ntz").alias("start"), c("end").cast("timestamp_ntz").alias("end"), "n"),
 )
+
+# polygons and service answers
+_PROPER = "hl_lat <> lr_lat AND hl_lon <> lr_lon"
+
+
+def _corners(t: Callable[[str], DataFrame]) -> DataFrame:
+    at = lambda lat, lon: F.struct(c(lat).alias("lat"), c(lon).alias("lon"))
+    return t("area").where(_PROPER).select("id", F.array(at("hl_lat", "hl_lon"), at("hl_lat", "lr_lon"), at("lr_lat", "lr_lon"), at("lr_lat", "hl_lon")).alias("ring"))
+
+
+register(
+    "q_build_polygons",
+    f"SELECT id AS relid, 1 AS polygons, 1 AS rings, 4 AS points FROM area WHERE {_PROPER}",
+    lambda t: tiles.build_polygons(_corners(t).select(c("id").alias("relid"), F.explode(F.array(F.slice("ring", 1, 3), F.concat(F.slice("ring", 3, 2), F.slice("ring", 1, 1)))).alias("line"))).select("relid", F.size("polygons").alias("polygons"), F.size(c("polygons")[0]).alias("rings"), F.size(c("polygons")[0][0]).alias("points")),
+)
+register(
+    "q_clip_polygons",
+    f"SELECT id, greatest(least(hl_lat, lr_lat), -30e0) AS south, least(greatest(hl_lat, lr_lat), 30e0) AS north FROM area WHERE {_PROPER} AND least(hl_lat, lr_lat) < 30 AND greatest(hl_lat, lr_lat) > -30",
+    lambda t: tiles.clip_polygons(_corners(t), (-180.0, -30.0, 180.0, 30.0)).select("id", F.array_min(F.transform("ring", lambda p: p["lat"])).alias("south"), F.array_max(F.transform("ring", lambda p: p["lat"])).alias("north")),
+)
+
+
+def _service(t: Callable[[str], DataFrame]) -> Service:
+    places = t("vx").withColumnRenamed("verid", "objectid")
+    return Service(t("vx").sparkSession, {"m": MapFile(t("osm"), places, edge=t("edge"), vertex=t("vx"))})
+
+
+register("q_service_route", None, lambda t: _service(t).graph_route("m", "45.1,6.2|45.9,6.8|45.5,6.5"))
+register("q_service_nearest", None, lambda t: _service(t).search_nearest("m", "45.1,6.2|45.9,6.8"))
+register("q_map_info", "SELECT 0 AS objectid, 'features' AS tag, 'search,routing' AS value UNION ALL SELECT 0, 'comment', ''", lambda t: map_info_rows(t("vx")).where("tag <> 'bbox'"))
