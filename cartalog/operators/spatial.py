@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cartalog.functions import tags
 from cartalog.functions.geo import EARTH_RADIUS, haversine, in_box, known_position, manhattan
+from cartalog.session import cut
 
 #: Half the side of the first box around a point, in degrees, and how often it may double; metres up to which an area counts as a point's own.
 FIRST_HALF, DOUBLINGS = 0.00005, 100
@@ -83,10 +85,6 @@ def nearest_join(points: DataFrame, targets: DataFrame, key: str = "verid", cell
 
     Each round only takes the targets still open. What is open after the last ring, in empty regions, is settled by nearest() in blocks.
     """
-    import math
-
-    from cartalog.session import cut
-
     per_row = round(360 / cell)
     cells = cut(points.where(known_position(F.col("lat"), F.col("lon"))).select(F.col(key).alias("key"), "lat", "lon", F.floor(F.col("lat") / cell).alias("y"), F.pmod(F.floor((F.col("lon") + 180) / cell), F.lit(per_row)).alias("x")))
     open_, done, ring = targets, None, 1
@@ -131,7 +129,7 @@ def area_boxes(points: DataFrame) -> DataFrame:
 def area_parents(areas: DataFrame) -> DataFrame:
     """(id, parid): of each area, the closest centre among the areas of the first kind above it that exists; null for the top.
 
-    areas: (id, areatype, hl_lat .. lr_lon), a table of names, small beside what lies in them.
+    areas: (id, areatype, hl_lat .. lr_lon); each level looks for its parents over cells of a degree, ring by ring.
     """
     middle = areas.select("id", "areatype", ((F.col("hl_lat") + F.col("lr_lat")) / 2).alias("lat"), ((F.col("hl_lon") + F.col("lr_lon")) / 2).alias("lon"))
     present = [r["areatype"] for r in areas.select("areatype").distinct().collect()]  # kinds of area: a dozen
@@ -141,11 +139,15 @@ def area_parents(areas: DataFrame) -> DataFrame:
             level = next(k for k, names in enumerate(tags.AREA_LEVELS) if kind in names)
             above = next((a for upper in reversed(tags.AREA_LEVELS[:level]) for a in reversed(upper) if a in present), None)
             wanted = F.when(F.col("areatype") == kind, F.lit(above).cast("string")).otherwise(wanted)
-    children = middle.withColumn("wanted", wanted)
-    parents = middle.select(F.col("id").alias("pid"), F.col("areatype").alias("wanted"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    rank = F.struct(haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")).alias("far"), F.col("pid").alias("pid"))
-    best = children.join(parents, "wanted").groupBy("id").agg(F.min(rank).alias("best"))
-    return middle.select("id").join(best, "id", "left").select("id", F.col("best.pid").alias("parid"))
+    children = cut(middle.withColumn("wanted", wanted))
+    found = None
+    for row in children.select("wanted").where("wanted is not null").distinct().collect():  # one per level at most
+        own = children.where(F.col("wanted") == row["wanted"]).select(F.col("id").alias("target"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
+        near = nearest_join(children.where(F.col("areatype") == row["wanted"]), own, "id", cell=1.0).select("target", "id")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return middle.select("id", F.lit(None).cast(areas.schema["id"].dataType).alias("parid"))
+    return middle.select("id").join(found.select(F.col("target").alias("id"), F.col("id").alias("parid")), "id", "left")
 
 
 def largest_areas(areas: DataFrame, kinds: tuple[str, ...] = ("country", "city")) -> DataFrame:

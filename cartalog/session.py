@@ -72,13 +72,3 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows allow it, else as it is, for a shuffled join."""
     return F.broadcast(df) if small(df, most) else df
 
-
-def columns_free(df: DataFrame, *wanted: str) -> list[str]:
-    """Names like the wanted ones that no column of df has, whatever its case."""
-    taken, free = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        free.append(name)
-    return free
