@@ -158,7 +158,7 @@ register(
     "SELECT areatype, CASE areatype WHEN 'country' THEN 0 WHEN 'province' THEN 1 WHEN 'region' THEN 1 WHEN 'county' THEN 1 WHEN 'state' THEN 1 WHEN 'island' THEN 2 WHEN 'archipelago' THEN 2 WHEN 'village' THEN 2 WHEN 'town' THEN 2 WHEN 'city' THEN 2 WHEN 'street' THEN 4 WHEN 'postcode' THEN 4 ELSE 3 END AS level, count(*) AS n FROM area GROUP BY areatype",
     lambda t: t("area").groupBy("areatype").agg(F.count(F.lit(1)).alias("n")).withColumn("level", tags.area_level(F.col("areatype"))),
 )
-register("q_filter_tags", "SELECT objectid, list_sort(list(DISTINCT key)) AS keys FROM osm WHERE key NOT LIKE 'addr:%' AND key <> 'note' GROUP BY objectid", lambda t: t("osm").groupBy("objectid").agg(F.collect_set("key").alias("k")).select("objectid", F.array_sort(F.filter("k", lambda x: ~tags.is_address(x) & (x != "note"))).alias("keys")))
+register("q_filter_tags", "SELECT objectid, coalesce(list_sort(list(DISTINCT key) FILTER (WHERE key NOT LIKE 'addr:%' AND key <> 'note')), []) AS keys FROM osm GROUP BY objectid", lambda t: t("osm").groupBy("objectid").agg(F.collect_set("key").alias("k")).select("objectid", F.array_sort(F.filter("k", lambda x: ~tags.is_address(x) & (x != "note"))).alias("keys")))
 register("q_style_group", "SELECT value, CASE value WHEN 'motorway' THEN 'motorway' WHEN 'trunk' THEN 'motorway' WHEN 'residential' THEN 'minorroad' WHEN 'steps' THEN 'noauto' WHEN 'tram' THEN 'railway' ELSE 'other' END AS style, count(*) AS n FROM tagged WHERE key IN ('highway', 'railway') GROUP BY value", lambda t: t("tagged").where("key in ('highway', 'railway')").groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("style", tags.style_group(F.col("value"))))
 LAYERS = {"ln_motorway": {"highway": ("motorway", "trunk")}, "pt_transit": {"railway": ("*",), "name": ("*",)}, "pt_amenity": {"amenity": ("*",)}}
 register(
@@ -176,12 +176,12 @@ register(
 register("q_footways", "SELECT wayid, 10 AS mps FROM highway WHERE highway IN ('trunk','living_street','footway','primary','secondary','tertiary','unclassified','residential','road','service')", lambda t: t("highway").where(tags.is_footway(F.col("highway"))).select("wayid", F.lit(tags.WALKING_SPEED).alias("mps")))
 
 # words
-_TOKENS = "WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(text, '[^a-z0-9#&+]+'), lambda x: x <> '')) AS tokens FROM words) "
+_TOKENS = "WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(text, '[^a-z0-9#&+]+'), lambda x: x <> '')) AS tokens FROM lowered) "
 
 
 def _documents(t: Callable[[str], DataFrame]) -> DataFrame:
     # Plain ASCII words, which both engines cut alike; search_words() is tested for the others.
-    return t("words").select(F.col("doc_id").alias("docid"), F.array_distinct(F.filter(F.split("text", "[^a-z0-9#&+]+"), lambda w: w != "")).alias("tokens"), ((F.col("doc_id") * 7919) % 1000003 + 1000000).alias("curve"))
+    return t("lowered").select(F.col("doc_id").alias("docid"), F.array_distinct(F.filter(F.split("text", "[^a-z0-9#&+]+"), lambda w: w != "")).alias("tokens"), ((F.col("doc_id") * 7919) % 1000003 + 1000000).alias("curve"))
 
 
 register("q_fulltext_exact", _TOKENS + "SELECT doc_id AS docid FROM d WHERE list_contains(tokens, 'bridge') AND list_contains(tokens, 'line')", lambda t: search.fulltext_ids(_documents(t), ["bridge", "line"]))
@@ -192,7 +192,7 @@ register(
     + "h AS (SELECT doc_id AS docid, CASE WHEN starts_with(c, '12345') THEN 2 WHEN starts_with(c, '1234') THEN 3 WHEN starts_with(c, '123') THEN 4 WHEN starts_with(c, '1') THEN 6 ELSE 8 END AS level FROM (SELECT doc_id, CAST((doc_id * 7919) % 1000003 + 1000000 AS VARCHAR) AS c FROM d WHERE list_contains(tokens, 'line'))), c AS (SELECT level, sum(count(*)) OVER (ORDER BY level) AS n FROM h GROUP BY level), e AS (SELECT coalesce(min(level), 99) AS enough FROM c WHERE n - 3 >= 20) SELECT docid FROM h, e WHERE level <= enough ORDER BY docid LIMIT 20 OFFSET 3".replace(") h AS", "), h AS"),
     lambda t: search.fulltext_near(_documents(t), 1234567, ["line"], offset=3, limit=20),
 )
-SQL["q_fulltext_location"] = SQL["q_fulltext_location"].replace("FROM words) h AS", "FROM words), h AS")
+SQL["q_fulltext_location"] = SQL["q_fulltext_location"].replace("FROM lowered) h AS", "FROM lowered), h AS")
 register("q_fulltext_documents", None, lambda t: search.search_documents(t("tagged"), t("vx").withColumnRenamed("verid", "objectid"), FIXED))
 register("q_stored_tags", None, lambda t: (lambda free, fixed: free.select("objectid", F.concat("key", F.lit("~"), "value").alias("tag")).unionByName(fixed))(*search.store_tags(t("tagged"), FIXED)))
 

@@ -41,7 +41,8 @@ VIEWS = {
     # a timetable
     "calendar": "SELECT n_nationkey AS service_id, CASE WHEN n_nationkey % 3 <> 0 THEN 1 ELSE 0 END AS monday, CASE WHEN (n_nationkey + 1) % 3 <> 0 THEN 1 ELSE 0 END AS tuesday, CASE WHEN (n_nationkey + 2) % 3 <> 0 THEN 1 ELSE 0 END AS wednesday, CASE WHEN n_nationkey % 4 = 0 THEN 1 ELSE 0 END AS thursday, CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 0 END AS friday, CASE WHEN n_nationkey % 7 = 0 THEN 1 ELSE 0 END AS saturday, 0 AS sunday, CASE WHEN n_nationkey % 6 = 0 THEN DATE '2024-06-01' ELSE DATE '2024-01-01' END AS start_date, CASE WHEN n_nationkey % 8 = 0 THEN DATE '2024-02-10' ELSE DATE '2024-12-31' END AS end_date FROM nation",
     "stop_times": "SELECT wayid AS trip_id, wayid * 100 + pos AS stop_time_id, verid AS stop_id, pos AS stop_sequence, CAST(pos * 300 + (wayid % 86) * 600 AS INT) AS arrival, CAST(pos * 300 + (wayid % 86) * 600 + 30 AS INT) AS departure FROM way",
-    "words": "SELECT doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL",
+    "words": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
+    "lowered": "SELECT doc_id, lower(text) AS text FROM words",
 }
 
 
