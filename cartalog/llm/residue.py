@@ -1,9 +1,10 @@
 """Template residue, filler, error pages and notices that scripts are needed, in place of text for a reader.
 
 Texts are cut into messages: lines and sentences. In each, addresses, dates, numbers and ids are masked and marks dropped; what is left is
-hashed, and exact hashes are counted over documents and sources, pre-aggregated before the shuffle. Phrase rules class the distinct messages:
+hashed, and exact hashes of all of them are counted over documents and sources, pre-aggregated before the shuffle. Rules class the distinct ones:
 a message that is as a whole an error, a notice or filler is residue wherever it stands; one that only goes with such messages is if it recurs
-widely. Sentences that quote or mention such things are longer than the rules allow, and each is unlike the next. Placeholders are marks of
+widely; one of unknown wording, in any language, is if in documents of several sources it is most of the text or, as the text's whole, all of it.
+Sentences that quote or mention such things are longer than the rules allow, and each is unlike the next. Placeholders are marks of
 template languages left in a text, and filler also is what repeats a word or is made of filler's words.
 """
 
@@ -17,6 +18,10 @@ from cartalog.session import broadcast_if_small, cut
 
 #: A message recurs widely from so many documents and sources on.
 WIDE_DOCS, WIDE_SOURCES = 3, 2
+#: A message whose wording no rule knows is a page of its own if it is so much of the text of so many documents and sources, and of so much of those it is in.
+PAGE_TEXT, PAGE_DOCS, PAGE_SOURCES, PAGE_SHARE = 0.6, 5, 3, 0.5
+#: Such a message has two words at least: numbers, names and blanks alone are none.
+_WORDS = r"\p{L}{2,}[^\p{L}]+\p{L}{2,}"
 #: Stands for placeholders and filler among a document's messages; masked messages have no such mark.
 DIRECT = "{}"
 
@@ -110,12 +115,17 @@ def readable(text: Column) -> Column:
     return F.regexp_replace(text, r"[\p{Zs}\t]", " ")
 
 
-def messages(text: Column) -> Column:
-    """The distinct masked lines and sentences of a readable text, of the text as it is and with its wrapped lines joined."""
+def _lines(text: Column) -> tuple[Column, Column]:
+    """The lines and sentences of a readable text as it is, and with its wrapped lines joined."""
     bare = F.regexp_replace(F.lower(text), rf"</?[a-z!][^<>%]{{0,200}}>", "\n")
     joined = F.regexp_replace(F.regexp_replace(bare, r"(?<=\w)-[ ]*\n[> |]*(?=\w)", ""), r"[ ]*\n[> |]*", " ")
     split = lambda t: F.split(t, r"(?<=[.!?…])\s+|\s*[\r\n]+[> |]*\s*")
-    return F.array_distinct(F.transform(F.concat(split(bare), split(joined)), masked))
+    return split(bare), split(joined)
+
+
+def messages(text: Column) -> Column:
+    """The distinct masked lines and sentences of a readable text, of the text as it is and with its wrapped lines joined."""
+    return F.array_distinct(F.transform(F.concat(*_lines(text)), masked))
 
 
 def masked(message: Column) -> Column:
@@ -149,13 +159,24 @@ def residue(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame:
     """
     rows = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.coalesce(F.col(source), F.lit("")).alias("source")))
     rows = rows.where("doc is not null and text is not null").select("doc", "source", readable(F.col("text")).alias("text"))
-    # One pass over the texts: what is kept of them are the messages that a rule knows, and a sign for placeholders and filler.
+    # One pass over the texts: what is kept of them are all messages, the whole as one, and a sign for placeholders and filler.
     direct = F.when(has_placeholder(F.col("text")) | is_filler(F.col("text")), F.array(F.lit(DIRECT))).otherwise(F.array().cast("array<string>"))
-    known = F.filter(messages(F.col("text")), lambda m: m.rlike(_rule(WHOLE + BESIDE)))
-    said = cut(rows.select("doc", "source", F.explode(F.concat(direct, known)).alias("message")))
-    each = said.where(F.col("message") != DIRECT).withColumn("hash", F.xxhash64("message"))
-    by_source = each.groupBy("hash", "source").agg(F.count_distinct("doc").alias("n"), F.first("message").alias("message"))
-    counted = by_source.groupBy("hash").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("sources"), F.first("message").alias("message"))
+    bare, joined = _lines(F.col("text"))
+    lines = F.struct(F.transform(bare, masked).alias("bare"), F.transform(joined, masked).alias("joined"))
+    # A struct in an array of one is made once, not once for each use.
+    made = rows.select("doc", "source", direct.alias("direct"), F.explode(F.array(lines)).alias("l"))
+    made = made.select("doc", "source", "direct", F.concat("l.bare", "l.joined").alias("parts"), F.concat_ws(" ", F.array_distinct("l.joined")).alias("whole"))
+    kept = F.filter(F.array_distinct(F.concat("direct", "parts", F.array(F.trim("whole")))), lambda m: m != "")
+    said = made.select("doc", "source", F.length("whole").alias("size"), F.explode(kept).alias("message"))
+    said = cut(said.select("doc", "source", "message", F.xxhash64("message").alias("hash"), (F.length("message") >= PAGE_TEXT * F.col("size")).alias("most")))
+    each = said.where(F.col("message") != DIRECT)
+    by_source = each.groupBy("hash", "source", "doc").agg(F.max("most").alias("most"), F.first("message").alias("message"))
+    by_source = by_source.groupBy("hash", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if("most").alias("pages"), F.first("message").alias("message"))
+    counted = by_source.groupBy("hash").agg(
+        F.sum("n").alias("docs"), F.count(F.lit(1)).alias("sources"), F.sum("pages").alias("pages"), F.count_if(F.col("pages") > 0).alias("page_sources"), F.first("message").alias("message")
+    )
     wide = (F.col("docs") >= WIDE_DOCS) & (F.col("sources") >= WIDE_SOURCES)
-    classed = counted.where(F.col("message").rlike(_rule(WHOLE)) | wide).select("hash")
-    return said.where(F.col("message") == DIRECT).select("doc").unionByName(each.join(broadcast_if_small(classed), "hash").select("doc")).distinct()
+    page = (F.col("pages") >= PAGE_DOCS) & (F.col("page_sources") >= PAGE_SOURCES) & (F.col("pages") >= PAGE_SHARE * F.col("docs")) & F.col("message").rlike(_WORDS)
+    classed = cut(counted.where(F.col("message").rlike(_rule(WHOLE)) | (wide & F.col("message").rlike(_rule(BESIDE))) | page).select("hash"))
+    found = each.select("doc", "hash").join(broadcast_if_small(classed), "hash").select("doc")
+    return said.where(F.col("message") == DIRECT).select("doc").unionByName(found).distinct()

@@ -30,3 +30,15 @@ def test_messages_beside_count_where_they_recur(spark):
     often = spark.createDataFrame([(k, text, "ab"[k % 2]) for k in range(4)], "doc_id int, text string, source string")
     assert residue(once, "doc_id", "text", "source").count() == 0
     assert residue(often, "doc_id", "text", "source").count() == 4
+
+
+def test_pages_in_languages_without_rules(spark):
+    dutch, polish = "Pagina niet gevonden. Het adres {0} bestaat niet op deze dienst.", "<html><body><h1>Nie znaleziono strony</h1>\nWróć do strony głównej i wybierz przystanek.</body></html>"
+    rows = [(k, dutch.format(k), "abc"[k % 3]) for k in range(6)] + [(10 + k, polish, "abc"[k % 3]) for k in range(6)]
+    rows += [(20, "De halte ligt bij de oude molen aan de rivier.\nHet adres 7 bestaat niet op deze dienst.", "a"), (21, "The bench stands beside the old chapel.\nNie znaleziono strony Wróć do strony głównej i wybierz przystanek.", "b")]
+    # What recurs as a small part of texts, in one source, or as numbers only is none.
+    walks = ("river", "harbour", "market", "chapel", "depot", "quarry")
+    rows += [(30 + k, f"Lees eerst dit bericht. The walk along the {w} takes {k} minutes past the gate and the sign for the {w} steps.", "abc"[k % 3]) for k, w in enumerate(walks)]
+    rows += [(40 + k, "Halte gesloten wegens onderhoud.", "a") for k in range(6)] + [(50 + k, str(k), "abc"[k % 3]) for k in range(6)] + [(60, dutch.replace("Pagina", "Bladzijde"), None)]
+    got = {r["doc"] for r in residue(spark.createDataFrame(rows, "doc_id int, text string, source string"), "doc_id", "text", "source").collect()}
+    assert got == {*range(6), *range(10, 16), 20, 21, 60}
