@@ -109,21 +109,35 @@ def _local(doc: np.ndarray, item: np.ndarray) -> tuple[int, tuple[int, int, int,
 
 
 def leaked_words(doc: np.ndarray, item: np.ndarray, rare: np.ndarray) -> int:
-    """Words of the item that the document holds in order at its best place or two; words without number are -1."""
-    doc, item, found, hits = doc.copy(), item.copy(), 0, 0
-    for place in range(2):
+    """Words of the item that the document holds in order at its best place or two; words without number are -1.
+
+    Alignments are made until no place can be left; stock phrases, however many, are passed over and take no words of the item.
+    """
+    doc, found, places = doc.copy(), 0, []
+    listed = np.unique(item[item >= 0])
+    rare_at = {k for k, w in enumerate(item.tolist()) if w >= 0 and rare[w]}
+
+    def telling(span: set[int], told: set[int]) -> bool:
+        wanted = len(span & rare_at)
+        return wanted > 0 and len(told & span & rare_at) >= RARE_MATCHED * wanted
+
+    # In LEAST_PLACE words with more than PENALTY matching ones to each change, so many match.
+    while np.isin(doc, listed).sum() > PENALTY * LEAST_PLACE // (PENALTY + 1):
         d0, d1, i0, i1, matches = _best(doc, item)
-        if not matches:
-            break
-        span = item[i0:i1]
-        wanted = int(rare[span[span >= 0]].sum())
-        matched = sum(bool(rare[item[k]]) for _, k in matches)
-        if wanted and matched >= RARE_MATCHED * wanted and (len(span) >= LEAST_PLACE or not place):
-            found, hits = found + len(span), hits + matched
-        if found >= LEAST_WORDS and hits >= 2:
+        doc[d0:d1] = -1
+        span, told = set(range(i0, i1)), {k for _, k in matches}
+        if not telling(span, told) or (len(span) < LEAST_PLACE and places):
+            continue
+        if len(told & rare_at) >= 2:
+            found = max(found, len(span))
+        for first, one, second, two in [x for s, t in places for x in ((s, t, span, told), (span, told, s, t))]:
+            more = second - first
+            if len(more) >= LEAST_PLACE and telling(more, two) and len((one & first | two & more) & rare_at) >= 2:
+                found = max(found, len(first) + len(more))
+        if found >= LEAST_WORDS:
             return found
-        doc[d0:d1], item[i0:i1] = -1, -2
-    return found if hits >= 2 else 0
+        places.append((span, told))
+    return found
 
 
 def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, least: int = LEAST_WORDS) -> DataFrame:

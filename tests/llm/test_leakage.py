@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cartalog.llm.leakage import _best, _local, leaked
+from cartalog.llm.leakage import _best, _local, leaked, leaked_words
 from cartalog.llm.words import plain_words
 
 PARTS = ("bra", "klu", "ste", "gro", "mi", "fö", "na", "ti", "lo", "pu")
@@ -96,3 +96,21 @@ def test_long_texts_by_windows():
 
 def test_plain_words():
     assert plain_words("<p>Suv&ouml;ro um 11:31</p> Fahr-\n> karten​automat, d'Or 3.5") == ["suvoro", "um", "1131", "fahrkartenautomat", "d", "or", "35"]
+
+
+def test_stock_phrases_take_no_place():
+    """Items of 8 stock words, 12 of its own, 8 stock words, 12 of its own; words from 100 on are rare."""
+    rare = np.arange(200) >= 100
+    stock, more, own, other = np.arange(8), np.arange(10, 22), np.arange(100, 112), np.arange(112, 124)
+    item = np.concatenate([stock, own, more, other]).astype(np.int32)
+    altered = lambda w: np.where(np.isin(np.arange(12), (4, 8)), -1, w)
+    gap = np.full(9, -1)
+    doc = lambda *parts: np.concatenate([x for p in parts for x in (gap, p)]).astype(np.int32)
+    assert leaked_words(doc(stock, altered(own), altered(other)), item, rare) == 24
+    assert leaked_words(doc(stock, more, stock, altered(own), more, altered(other)), item, rare) == 24
+    long = np.concatenate([own, other])
+    assert leaked_words(doc(stock, more, np.where(np.isin(np.arange(24), (4, 9, 14, 19)), -1, long)), np.concatenate([stock, more, long]).astype(np.int32), rare) == 24
+    # Stock phrases alone, one place too short, or the same place twice are no case.
+    assert leaked_words(doc(stock, more, stock, more), item, rare) == 0
+    assert leaked_words(doc(stock, altered(own), more), item, rare) == 12
+    assert leaked_words(doc(altered(own), stock, altered(own)), item, rare) == 12
