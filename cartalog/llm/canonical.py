@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ from cartalog.llm.edits import BkTree, typing_cost
 #: Entries, at most, of one tree sent to the executors.
 SHARD_ENTRIES = 20_000
 NONE = -1
+#: Letters, at most, of a reading that is looked up: no label is so long, and no reading that is has few edits.
+LONGEST = 200
 #: Words that people put beside a kind of route without changing it.
 QUALIFIERS = frozenset(
     "public publique publik öffentlich öffentliche öffentlicher regional regionale régional régionale local lokal lokale night nacht nuit "
@@ -67,12 +70,18 @@ def readings(value: str) -> Iterator[str]:
     bare = re.split(r"[;|]", re.sub(r"\([^)]*\)|\[[^]]*\]", " ", value))[0]
     words = [w for w in folded(bare).split() if not w.isdigit()]
     yield " ".join(words)
-    # Qualifying words go from either end, one by one.
+    # Qualifying words go from either end, one by one, until none is left.
     for ends in ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2)):
         cut = words[ends[0] : len(words) - ends[1]]
         gone = words[: ends[0]] + words[len(words) - ends[1] :]
         if cut and all(w in _QUALIFIERS for w in gone):
             yield " ".join(cut)
+    before = len(list(takewhile(_QUALIFIERS.__contains__, words)))
+    after = len(list(takewhile(_QUALIFIERS.__contains__, reversed(words))))
+    # What keeps more words than LONGEST letters is too long in any case.
+    for n in range(max(3, len(words) - LONGEST), min(before + after, len(words) - 1) + 1):
+        for k in range(min(n, before), max(0, n - after) - 1, -1):
+            yield " ".join(words[k : len(words) - n + k])
 
 
 class Matcher:
@@ -94,7 +103,7 @@ class Matcher:
             return [(0, 0.0, int(number))] if number in self.codes else []
         found: dict[int, tuple[int, float]] = {}
         for reading in dict.fromkeys(r for v in readings(value) for r in (v, v.replace(" ", ""))):
-            if not reading:
+            if not reading or len(reading) > LONGEST:
                 continue
             for d, form in self.tree.within(reading, most_edits(len(reading))):
                 if d <= most_edits(len(form)) and (not d or len(reading) > 2):
@@ -106,7 +115,7 @@ class Matcher:
             # A number beside a word that no list has: type 3, 3 - something.
             parts = folded(value).split()
             numbers = [w for w in parts if w.isdigit()]
-            if len(numbers) == 1 and all(w in _QUALIFIERS for w in parts if not w.isdigit()) and str(int(numbers[0])) in self.codes:
+            if len(numbers) == 1 and len(numbers[0]) <= LONGEST and all(w in _QUALIFIERS for w in parts if not w.isdigit()) and str(int(numbers[0])) in self.codes:
                 return [(0, 0.0, int(numbers[0]))]
         return [(d, cost, code) for code, (d, cost) in found.items()]
 
@@ -115,21 +124,20 @@ def to_canonical(df: DataFrame, value: str, entries: DataFrame, code: str, label
     """(value, code): each distinct value that is neither null nor blank, with the code of the entry meant, -1 if none is.
 
     The fewest edits win, then the likeliest typing errors, then the smallest code. Values that are a code or label exactly map to it.
-    Repeated rows count once; empty tables of values give an empty one, an empty list of entries -1 everywhere. Very long values match nothing.
+    Repeated rows count once; empty tables of values give an empty one, an empty list of entries -1 everywhere. Very long readings match nothing.
     """
     values = df.select(F.col(value).alias("value")).where(F.col("value").isNotNull() & (trim(F.col("value")) != "")).distinct()
     listed = entries.select(F.col(code).alias("code"), F.array(*labels).alias("labels")).where("code is not null").distinct()
     spark, best = df.sparkSession, values.select("value", F.lit(None).cast("struct<edits:int,cost:double,code:bigint>").alias("hit"))
     count = listed.count()
     shards = max(1, -(-count // shard))
-    longest = 200  # no label is so long, and no value that is has few edits
     for k in range(shards):
         rows = listed.where(F.pmod(F.xxhash64("code"), F.lit(shards)) == k).collect()
         sent = spark.sparkContext.broadcast(Matcher([(r["code"], [x for x in r["labels"] if x]) for r in rows]))
 
         def look_up(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                hits = [(v, *h) for v in batch["value"] if len(v) <= longest for h in sent.value.find(v)]
+                hits = [(v, *h) for v in batch["value"] for h in sent.value.find(v)]
                 yield pd.DataFrame(hits, columns=["value", "edits", "cost", "code"])
 
         hits = values.mapInPandas(look_up, "value string, edits int, cost double, code bigint")

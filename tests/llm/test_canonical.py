@@ -79,3 +79,12 @@ def test_held_out_typing_errors():
                 hits = sorted(matcher.find("".join(typed)))
                 n, right = n + 1, right + bool(hits and hits[0][2] == code)
     assert right / n >= 0.95
+
+
+def test_long_values_and_many_qualifiers(spark):
+    kinds = spark.createDataFrame([(3, "bus"), (5, "tram")], "code int, label string")
+    known = {"bus (" + "a remark " * 40 + ")": 3, "tram; " + "see below " * 40: 5, " " * 250 + "bus" + " " * 250: 3, "the public bus service": 3, "the regular public night tram line service": 5}
+    unknown = ["x" * 300, "bus " + "word " * 100, "9" * 5000, "the public service line"]
+    df = spark.createDataFrame([(v,) for v in [*known, *unknown]], "v string")
+    got = {r["value"]: r["code"] for r in to_canonical(df, "v", kinds, "code", ["label"]).collect()}
+    assert got == known | dict.fromkeys(unknown, -1)
