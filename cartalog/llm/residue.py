@@ -20,29 +20,29 @@ from cartalog.session import broadcast_if_small, cut
 WIDE_DOCS, WIDE_SOURCES = 3, 2
 #: A message whose wording no rule knows is a page of its own if it is so much of the text of so many documents and sources, and of so much of those it is in.
 PAGE_TEXT, PAGE_DOCS, PAGE_SOURCES, PAGE_SHARE = 0.6, 5, 3, 0.5
-#: Such a message has two words at least: numbers, names and blanks alone are none.
-_WORDS = r"\p{L}{2,}[^\p{L}]+\p{L}{2,}"
-#: Stands for placeholders and filler among a document's messages; masked messages have no such mark.
-DIRECT = "{}"
+#: Of so many words, as messages have and texts for readers seldom, it is from fewer documents on. One has two words at least: numbers, names and blanks alone are none.
+SHORT_WORDS, SHORT_DOCS = (4, 25), 4
+#: What a message's wording tells: residue wherever it stands, residue where it recurs widely, nothing.
+RESIDUE, GOES_ALONG, UNKNOWN = 2, 1, 0
 
 #: Names of mark-up that is no placeholder though it is written in capitals between angle brackets.
 MARKUP = "A|ABBR|ADDRESS|ARTICLE|B|BIG|BLOCKQUOTE|BODY|BR|BUTTON|CENTER|CODE|DD|DIV|DL|DT|EM|FONT|FOOTER|FORM|H[1-6]|HEAD|HEADER|HR|HTML|I|IFRAME|IMG|INPUT|LABEL|LI|LINK|MAIN|META|NAV|NOSCRIPT|OL|OPTION|P|PRE|SCRIPT|SECTION|SELECT|SMALL|SPAN|STRONG|STYLE|SUB|SUP|TABLE|TBODY|TD|TEXTAREA|TFOOT|TH|THEAD|TITLE|TR|TT|U|UL"
 #: Marks of template languages, and notes to whoever should have filled a template in.
 PLACEHOLDERS = (
-    r"\{\{[^{}]{1,80}\}\}",
-    r"\{%[^%]{1,80}%\}",
-    r"<%[=-]?[^%]{1,80}%>",
-    r"[$#]\{[A-Za-z_][^{}]{0,80}\}",
+    r"\{\{[^{}]++\}\}",
+    r"\{%[^%]++%\}",
+    r"<%[=-]?[^%]++%>",
+    r"[$#]\{[A-Za-z_][^{}]*+\}",
     r"%\([A-Za-z_]\w*\)[sdifr]",
-    r"(?<![\w%])%[A-Z][A-Z0-9_]{2,40}%",
-    r"\[\[[^\[\]]{1,80}\]\]",
-    r"\[(?i:your|insert|enter|add|put|type|hier|bitte|ihr|ihre|name|votre|vos|insérer|insérez|entrez|nom|titre|text|texte|inserte|su)\b[^\[\]]{0,80}(?i:here|hier|ici|text|texte|name|namen|nom|title|titel|titre|einfügen|eintragen|aquí|date|datum|address|adresse|description)[^\[\]]{0,40}\]",
+    r"(?<![\w%])%[A-Z][A-Z0-9_]{2,}+%",
+    r"\[\[[^\[\]]++\]\]",
+    r"\[(?i:your|insert|enter|add|put|type|hier|bitte|ihr|ihre|name|votre|vos|insérer|insérez|entrez|nom|titre|text|texte|inserte|su)\b(?=[^\[\]]*+\])[^\[\]]*?(?i:here|hier|ici|text|texte|name|namen|nom|title|titel|titre|einfügen|eintragen|aquí|date|datum|address|adresse|description)",
     r"\[[A-Z][A-Z_]+(?: [A-Z_]+)+\]",
     r"(?<!\w)__[A-Z][A-Z0-9_]*[A-Z0-9]__(?!\w)",
     r"@@[A-Za-z][A-Za-z0-9_]*@@",
     r"\$\$[A-Za-z][A-Za-z0-9_]*\$\$",
-    r"<<[A-Za-z_][A-Za-z0-9_ ]{0,40}>>",
-    rf"<(?!(?:{MARKUP})>)[A-Z][A-Z_]{{2,40}}>",
+    r"<<[A-Za-z_][A-Za-z0-9_ ]*+>>",
+    rf"<(?!(?:{MARKUP})>)[A-Z][A-Z_]{{2,}}+>",
     r"(?<![\w{$#])\{[0-9]{1,2}\}(?!\})",
     r"(?<![\w{$#])\{[a-z]+(?:[_.][a-z0-9]+)+\}(?!\})",
     r"(?<!\w)(?:TODO|FIXME|TBD):",
@@ -53,8 +53,7 @@ PLACEHOLDERS = (
 FILLER = (
     "lorem ipsum dolor amet consectetur consectetuer adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua veniam nostrud ullamco laboris "
     "aliquip commodo consequat irure reprehenderit voluptate velit cillum fugiat pariatur excepteur occaecat cupidatat proident deserunt mollit laborum "
-    "nullam semper autem cursus lacus vestibulum pellentesque mauris vivamus praesent curabitur phasellus fusce donec etiam aenean quisque suspendisse "
-    "vestibulo viarum haltor tramvis pontis portu urbes quondam sit"
+    "nullam semper autem cursus lacus vestibulum pellentesque mauris vivamus praesent curabitur phasellus fusce donec etiam aenean quisque suspendisse sit"
 ).split()
 #: What fingers write on a keyboard to fill a field.
 MASHED = "asdf|asd|asdfg|asdfgh|asdfjkl|sdfg|dfgh|fghj|ghjk|hjkl|jkl|jklö|qwer|qwert|qwerty|qwertz|qwertzu|azerty|wert|yxcv|yxcvb|zxcv|zxcvb|xxx+|blabla|bla|foo|bar|foobar|baz|test"
@@ -64,78 +63,82 @@ _CODE = "(?:not found|forbidden|bad gateway|bad request|unauthorized|internal se
 #: Messages that are, as a whole, residue. They are read without marks but : and #, numbers as 0, ids as 1, addresses as 2.
 WHOLE = (
     # scripts needed
-    rf"(?:(?:please|you (?:must|need to|have to)|kindly) )?(?:enable|activate|turn on|allow|switch on) {_SCRIPT}\b.{{0,90}}",
-    rf"{_SCRIPT}(?: (?:and|und|et) cookies)? (?:is|are|must|should|has|have|needs?|ist|sind|muss|müssen|est|sont|doit|doivent)\b.{{0,20}}(?:disabled|required|enabled|allowed|needed|turned off|switched off|deaktiviert|aktiviert|erforderlich|eingeschaltet|erlaubt|désactivée?s?|activée?s?|nécessaires?|requis|autorisée?s?)\b.{{0,60}}",
-    rf"(?:this|the|diese|ce|cette|our) (?:site|page|website|web site|app|application|map|board|seite|karte|webseite)\b.{{0,20}} (?:needs?|requires?|benötigt|braucht|nécessite|requiert) {_SCRIPT}\b.{{0,60}}",
-    rf"(?:your|ihr|votre) (?:browser|navigateur)\b.{{0,40}}(?:turned off|disabled|deaktiviert|désactivé|blocks?|does not support {_SCRIPT}).{{0,40}}",
-    r"(?:we are )?checking (?:if )?your browser\b.{0,90}",
-    rf"(?:bitte )?(?:aktivieren|erlauben|schalten) sie {_SCRIPT}\b.{{0,90}}",
-    rf"(?:vous devez |veuillez |merci d'|il faut )?(?:activer|activez|autoriser|autorisez) {_SCRIPT}\b.{{0,90}}",
-    rf"(?:por favor )?(?:active|activa|habilite|habilita|abilita|abilitare|attivare) {_SCRIPT}\b.{{0,90}}",
-    rf"noscript:? ?.{{0,90}}|turn on {_SCRIPT}\b.{{0,60}}",
+    rf"(?:(?:please|you (?:must|need to|have to)|kindly) )?(?:enable|activate|turn on|allow|switch on) {_SCRIPT}\b.*",
+    rf"{_SCRIPT}(?: (?:and|und|et) cookies)? (?:is|are|must|should|has|have|needs?|ist|sind|muss|müssen|est|sont|doit|doivent)\b.*?(?:disabled|required|enabled|allowed|needed|turned off|switched off|deaktiviert|aktiviert|erforderlich|eingeschaltet|erlaubt|désactivée?s?|activée?s?|nécessaires?|requis|autorisée?s?)\b.*",
+    rf"(?:this|the|diese|ce|cette|our) (?:site|page|website|web site|app|application|map|seite|karte|webseite)\b.*? (?:needs?|requires?|benötigt|braucht|nécessite|requiert) {_SCRIPT}\b.*",
+    rf"(?:your|ihr|votre) (?:browser|navigateur)\b.*?(?:turned off|disabled|deaktiviert|désactivé|blocks?|does not support {_SCRIPT}).*",
+    r"(?:we are )?checking (?:if )?your browser\b.*",
+    rf"(?:bitte )?(?:aktivieren|erlauben|schalten) sie {_SCRIPT}\b.*",
+    rf"(?:vous devez |veuillez |merci d'|il faut )?(?:activer|activez|autoriser|autorisez) {_SCRIPT}\b.*",
+    rf"(?:por favor )?(?:active|activa|habilite|habilita|abilita|abilitare|attivare) {_SCRIPT}\b.*",
+    rf"noscript:? ?.*|turn on {_SCRIPT}\b.*",
     # errors
-    r"(?:http |server )?(?:error|fehler|erreur|errore) (?:code )?0 ?:? ?.{0,90}",
-    rf"(?:http |error )?0 ?:? {_CODE}\b.{{0,80}}|{_CODE}",
-    r"(?:internal server error|interner serverfehler|erreur interne du serveur)\b.{0,40}|(?:page|file|seite|datei|site) (?:not found|nicht gefunden|introuvable|non trouvée)\b.{0,40}|la page\b.{0,40}(?:est introuvable|n'existe pas)\b.{0,30}",
-    r"(?:access|permission) denied\b(?: request id .{1,20})?|zugriff verweigert|accès (?:refusé|interdit)|request id [0-9a-z]+",
-    r"traceback most recent call last:?|file \S+ line 0(?: in \w+)?|stack trace:?|#0 .{1,60}|at \S+\(\S+:0\)",
-    r"(?:fatal |parse |syntax |runtime |unhandled |uncaught )(?:error|exception)\b.{0,160}|uncaught exception\b.{0,120}|(?:key|type|value|name|index|attribute|import|runtime|null ?pointer|io|sql)(?:error|exception)\b:?.{0,120}",
-    r"(?:warning|notice|error|fatal): ?(?:could not|cannot|can't|failed|undefined|mysql|include|division|call to|unable)\b.{0,120}|(?:could not|cannot|failed to|unable to) connect to\b.{0,90}",
-    r"(?:the )?connection to .{1,60} (?:timed out|was refused|was reset|failed)|(?:connection|request|gateway) (?:timed out|time ?out|refused|reset)\b.{0,40}",
-    r"(?:your|ihre|votre) (?:session|sitzung) (?:has |ist |a )?(?:expired|timed out|abgelaufen|expiré)\b.{0,40}|too many requests|your (?:ip )?address (?:has been|was|is) (?:limited|blocked|banned)\b.{0,60}",
-    r"(?:an?|une|ein) (?:unexpected |unknown |internal |interner |unerwarteter |unbekannter )?(?:error|fehler|erreur)(?: interne| inattendue)? (?:has occurred|occurred|ist aufgetreten|est survenue|s'est produite)\b.{0,60}",
-    r"(?:erreur|fehler|error)(?: interne)? 0 : une? erreur\b.{0,60}",
-    r"the (?:\w+ )?page (?:that )?you (?:asked for|requested|are looking for|were looking for)\b.{0,80}|this page (?:has moved|was removed|has been (?:moved|removed|deleted)|does not exist|is no longer)\b.{0,60}|diese seite (?:existiert nicht|wurde (?:verschoben|gelöscht|entfernt))\b.{0,60}|cette page (?:n'existe|a été)\b.{0,60}",
-    r"(?:the )?\w+ (?:service )?(?:is )?(?:temporarily |currently )?unavailable|the (?:board|page|map|view|template) could not be (?:rendered|shown|loaded|displayed)\b.{0,60}",
+    r"(?:http |server )?(?:error|fehler|erreur|errore) (?:code )?0 ?:? ?.*",
+    rf"(?:http |error )?0 ?:? {_CODE}\b.*|{_CODE}",
+    r"(?:internal server error|interner serverfehler|erreur interne du serveur)\b.*|(?:page|file|seite|datei|site) (?:not found|nicht gefunden|introuvable|non trouvée)\b.*|la page\b.*?(?:est introuvable|n'existe pas)\b.*",
+    r"(?:access|permission) denied\b(?: request id .+)?|zugriff verweigert|accès (?:refusé|interdit)|request id [0-9a-z]+",
+    r"traceback most recent call last:?|file \S+ line 0(?: in \w+)?|stack trace:?|#0 .+|at \S+\(\S+:0\)",
+    r"(?:fatal |parse |syntax |runtime |unhandled |uncaught )(?:error|exception)\b.*|uncaught exception\b.*|(?:key|type|value|name|index|attribute|import|runtime|null ?pointer|io|sql)(?:error|exception)\b:?.*",
+    r"(?:warning|notice|error|fatal): ?(?:could not|cannot|can't|failed|undefined|mysql|include|division|call to|unable)\b.*|(?:could not|cannot|failed to|unable to) connect to\b.*",
+    r"(?:the )?connection to .+? (?:timed out|was refused|was reset|failed)|(?:connection|request|gateway) (?:timed out|time ?out|refused|reset)\b.*",
+    r"(?:your|ihre|votre) (?:session|sitzung) (?:has |ist |a )?(?:expired|timed out|abgelaufen|expiré)\b.*|too many requests|your (?:ip )?address (?:has been|was|is) (?:limited|blocked|banned)\b.*",
+    r"(?:an?|une|ein) (?:unexpected |unknown |internal |interner |unerwarteter |unbekannter )?(?:error|fehler|erreur)(?: interne| inattendue)? (?:has occurred|occurred|ist aufgetreten|est survenue|s'est produite)\b.*",
+    r"(?:erreur|fehler|error)(?: interne)? 0 : une? erreur\b.*",
+    r"the (?:\w+ )?page (?:that )?you (?:asked for|requested|are looking for|were looking for)\b.*|this page (?:has moved|was removed|has been (?:moved|removed|deleted)|does not exist|is no longer)\b.*|diese seite (?:existiert nicht|wurde (?:verschoben|gelöscht|entfernt))\b.*|cette page (?:n'existe|a été)\b.*",
+    r"(?:the )?\w+ (?:service )?(?:is )?(?:temporarily |currently )?unavailable|the \w+ could not be (?:rendered|shown|loaded|displayed)\b.*",
     # filler
-    r"(?:sample|dummy|placeholder|filler|example) (?:text|description|content|paragraph|title)\b.{0,50}|(?:this is )?(?:just )?(?:some |a )?(?:dummy|filler|placeholder) text\b.{0,40}",
+    r"(?:sample|dummy|placeholder|filler|example) (?:text|description|content|paragraph|title)\b.*|(?:this is )?(?:just )?(?:some |a )?(?:dummy|filler|placeholder) text\b.*",
     r"your (?:headline|subheading|text|title|content|description|slogan|name) (?:goes|comes) here|(?:headline|title|text|content) goes here",
-    r"hier (?:steht|kommt|folgt) (?:später |bald |demnächst )?(?:ihr|der|ein) (?:text|titel|inhalt)\b.{0,40}|(?:platzhaltertext|platzhalter|blindtext|mustertext|fülltext|beispieltext)\b.{0,50}",
-    r"(?:texte|contenu|paragraphe) (?:de remplissage|fictif|d'exemple|factice)\b.{0,60}|(?:votre|insérez votre) (?:texte|titre) ici",
-    r"replace this (?:paragraph|text|sentence|line|title)\b.{0,60}|(?:insert|enter|add|put|type) (?:your )?(?:text|content|description|title|name) here|describe this (?:stop|place|page)|lorem ipsum\b.*",
+    r"hier (?:steht|kommt|folgt) (?:später |bald |demnächst )?(?:ihr|der|ein) (?:text|titel|inhalt)\b.*|(?:platzhaltertext|platzhalter|blindtext|mustertext|fülltext|beispieltext)\b.*",
+    r"(?:texte|contenu|paragraphe) (?:de remplissage|fictif|d'exemple|factice)\b.*|(?:votre|insérez votre) (?:texte|titre) ici",
+    r"replace this (?:paragraph|text|sentence|line|title)\b.*|(?:insert|enter|add|put|type) (?:your )?(?:text|content|description|title|name) here|lorem ipsum\b.*",
 )
 #: Messages that go with residue, and are it where they recur widely.
 BESIDE = (
-    r"(?:please )?(?:try|sign in|log in|reload|refresh|come back|check the address)\b.{0,60}(?:again|later|page|minutes|continue|board)\b.{0,30}",
-    r"(?:bitte )?(?:versuchen sie es|laden sie|melden sie sich)\b.{0,60}|zurück zur startseite|bitte ersetzen",
-    r"(?:veuillez |merci de )?(?:réessayer|réessayez|recharger|rechargez)\b.{0,60}|retour à l'accueil",
-    r"the (?:map|page|board|view) (?:cannot|can not|can't) be (?:shown|displayed|loaded)\b.{0,40}|(?:coming soon|under construction|im aufbau|en construction)",
+    r"(?:please )?(?:try|sign in|log in|reload|refresh|come back|check the address)\b.*?(?:again|later|page|minutes|continue)\b.*",
+    r"(?:bitte )?(?:versuchen sie es|laden sie|melden sie sich)\b.*|zurück zur startseite|bitte ersetzen",
+    r"(?:veuillez |merci de )?(?:réessayer|réessayez|recharger|rechargez)\b.*|retour à l'accueil",
+    r"the \w+ (?:cannot|can not|can't) be (?:shown|displayed|loaded)\b.*|(?:coming soon|under construction|im aufbau|en construction)",
 )
 
-_WEB = r"(?:https?://|www\.)\S+|(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})+|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
+_WEB = r"(?:https?://|www\.)\S+"
+_MAIL = r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)+"
+_ADDRESS = r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
 _DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}(?:t[0-9:.]+z?)?\b|\b[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}\b"
-_ID = r"\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{6,}\b|\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b"
+_ID = r"\b(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{6,}+\b|\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b"
 
 
 def readable(text: Column) -> Column:
-    """Without invisible characters and entities of mark-up; kinds of blank are one."""
+    """Without invisible characters and entities of mark-up; runs of blanks are one."""
     text = F.regexp_replace(text, r"[\p{Cf}͏︀-️]", "")
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#123;", "{"), ("&#125;", "}"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
-    return F.regexp_replace(text, r"[\p{Zs}\t]", " ")
+    return F.regexp_replace(text, r"[\p{Zs}\t]+", " ")
 
 
-def _lines(text: Column) -> tuple[Column, Column]:
-    """The lines and sentences of a readable text as it is, and with its wrapped lines joined."""
-    bare = F.regexp_replace(F.lower(text), rf"</?[a-z!][^<>%]{{0,200}}>", "\n")
-    joined = F.regexp_replace(F.regexp_replace(bare, r"(?<=\w)-[ ]*\n[> |]*(?=\w)", ""), r"[ ]*\n[> |]*", " ")
-    split = lambda t: F.split(t, r"(?<=[.!?…])\s+|\s*[\r\n]+[> |]*\s*")
-    return split(bare), split(joined)
+def masked(text: Column) -> Column:
+    """A readable text in lower case without mark-up, addresses, dates, ids and numbers masked; lines stay lines."""
+    text = F.regexp_replace(F.lower(text), "</?[a-z!][^<>%]*+>", "\n")
+    for pattern, by in ((_WEB, " 2 "), (_MAIL, " 2 "), (_ADDRESS, " 2 "), (_DATE, " 0 "), (_ID, " 1 "), (r"[0-9]+(?:[.:,][0-9]+)*", "0")):
+        text = F.regexp_replace(text, pattern, by)
+    return text
 
 
-def messages(text: Column) -> Column:
-    """The distinct masked lines and sentences of a readable text, of the text as it is and with its wrapped lines joined."""
-    return F.array_distinct(F.transform(F.concat(*_lines(text)), masked))
+def _lines(text: Column) -> Column:
+    """The lines and sentences of a masked text, without marks."""
+    text = F.regexp_replace(text, r"(?<=[.!?…])\s+|\s*[\r\n]+[> |]*\s*", "\n")
+    text = F.regexp_replace(text, r"[^\p{L}\p{M}0-9:#'’<>%(/.\n]+|[(.](?=\s|$)|(?m:(?<=\s|^)[('’])|['’](?=\s|$)", " ")
+    return F.split(F.regexp_replace(text, r"[( ]+", " "), " ?\n ?")
 
 
-def masked(message: Column) -> Column:
-    for pattern, by in ((_WEB, " 2 "), (_DATE, " 0 "), (_ID, " 1 "), (r"[0-9]+", "0"), (r"(?<=0)[.:,]0", ""), (r"[^\p{L}\p{M}0-9:#'’<>%(/.]+|[(.](?=\s|$)|(?<=\s|^)[('’]|['’](?=\s|$)", " "), (r"[(]", " "), (r"\s+", " ")):
-        message = F.regexp_replace(message, pattern, by)
-    return F.trim(message)
+def _joined(text: Column) -> Column:
+    """A masked text with its wrapped lines joined."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?<=\w)- ?\n[> |]*(?=\w)", ""), r"(?: ?\n[> |]*+)++", " ")
 
 
 def has_placeholder(text: Column) -> Column:
-    return text.rlike("|".join(f"(?:{p})" for p in PLACEHOLDERS))
+    """The first test only spares texts without any of the signs that placeholders are made of."""
+    return text.rlike(r"[{}%$@\[<_(]|TODO:|FIXME:|TBD:|XX") & text.rlike("|".join(f"(?:{p})" for p in PLACEHOLDERS))
 
 
 def is_filler(text: Column) -> Column:
@@ -144,7 +147,7 @@ def is_filler(text: Column) -> Column:
     # Runs in which one word in three at least is filler's.
     words = "|".join(FILLER)
     run = rf"(?:\b(?:{words})\b\W+(?:\w+\W+){{0,2}}){{7}}"
-    return lower.rlike(r"(?<!\w)(\p{L}{2,})(?:[\s,.]+\1(?!\w)){4}") | lower.rlike(rf"(?<!\w)(?:{MASHED})(?:[\s,.]+(?:{MASHED})(?!\w)){{2}}") | lower.rlike(run)
+    return lower.rlike(r"(?<!\w)(\p{L}{2,}+)(?:[\s,.]+\1(?!\w)){4}") | lower.rlike(rf"(?<!\w)(?:{MASHED})(?:[\s,.]+(?:{MASHED})(?!\w)){{2}}") | lower.rlike(run)
 
 
 def _rule(patterns: tuple[str, ...]) -> str:
@@ -157,26 +160,32 @@ def residue(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame:
     Null, empty and blank texts, null ids, and texts that only speak of such things are none; a null source counts as one of its own; texts are
     taken whole, however long; repeated rows change nothing but the counts; an empty table gives an empty one. Other columns play no part.
     """
-    rows = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.coalesce(F.col(source), F.lit("")).alias("source")))
+    rows = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(source), F.lit(""))).alias("source")))
     rows = rows.where("doc is not null and text is not null").select("doc", "source", readable(F.col("text")).alias("text"))
-    # One pass over the texts: what is kept of them are all messages, the whole as one, and a sign for placeholders and filler.
-    direct = F.when(has_placeholder(F.col("text")) | is_filler(F.col("text")), F.array(F.lit(DIRECT))).otherwise(F.array().cast("array<string>"))
-    bare, joined = _lines(F.col("text"))
-    lines = F.struct(F.transform(bare, masked).alias("bare"), F.transform(joined, masked).alias("joined"))
-    # A struct in an array of one is made once, not once for each use.
-    made = rows.select("doc", "source", direct.alias("direct"), F.explode(F.array(lines)).alias("l"))
-    made = made.select("doc", "source", "direct", F.concat("l.bare", "l.joined").alias("parts"), F.concat_ws(" ", F.array_distinct("l.joined")).alias("whole"))
-    kept = F.filter(F.array_distinct(F.concat("direct", "parts", F.array(F.trim("whole")))), lambda m: m != "")
-    said = made.select("doc", "source", F.length("whole").alias("size"), F.explode(kept).alias("message"))
-    said = cut(said.select("doc", "source", "message", F.xxhash64("message").alias("hash"), (F.length("message") >= PAGE_TEXT * F.col("size")).alias("most")))
-    each = said.where(F.col("message") != DIRECT)
-    by_source = each.groupBy("hash", "source", "doc").agg(F.max("most").alias("most"), F.first("message").alias("message"))
-    by_source = by_source.groupBy("hash", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if("most").alias("pages"), F.first("message").alias("message"))
-    counted = by_source.groupBy("hash").agg(
-        F.sum("n").alias("docs"), F.count(F.lit(1)).alias("sources"), F.sum("pages").alias("pages"), F.count_if(F.col("pages") > 0).alias("page_sources"), F.first("message").alias("message")
+    # One pass over the texts: what is kept of them are the hashes of all messages and of the whole as one, with what their wording tells, as shipping
+    # every message's text would cost more; a placeholder or filler, which marks or repetition tell, is a message without hash.
+    direct = has_placeholder(F.col("text")) | is_filler(F.col("text"))
+    # What goes through an array of one is made once, not once for each use.
+    made = rows.select("doc", "source", direct.alias("direct"), F.explode(F.array(masked(F.col("text")))).alias("bare"))
+    wrapped = F.when(F.contains("bare", F.lit("\n")), _lines(_joined(F.col("bare")))).otherwise(F.array().cast("array<string>"))
+    made = made.select("doc", "source", "direct", F.explode(F.array(F.struct(_lines(F.col("bare")).alias("bare"), wrapped.alias("joined")))).alias("l"))
+    whole = F.trim(F.concat_ws(" ", F.array_distinct(F.when(F.size("l.joined") > 0, F.col("l.joined")).otherwise(F.col("l.bare")))))
+    made = made.select("doc", "source", "direct", F.transform(F.concat("l.bare", "l.joined"), lambda m: F.trim(m)).alias("parts"), F.explode(F.array(whole)).alias("whole"))
+    kept = F.filter(F.array_distinct(F.concat("parts", F.array("whole"))), lambda m: m != "")
+    said = made.select("doc", "source", "direct", F.length("whole").alias("size"), F.explode_outer(kept).alias("message"))
+    wording = F.when(F.col("message").rlike(_rule(WHOLE)), RESIDUE).when(F.col("message").rlike(_rule(BESIDE)), GOES_ALONG).otherwise(UNKNOWN)
+    words = F.regexp_count("message", F.lit(r"\p{L}{2,}"))
+    page = F.when(F.length("message") < PAGE_TEXT * F.col("size"), 0).when(words < 2, 0).when(words.between(*SHORT_WORDS), 2).otherwise(1)
+    said = said.select("doc", "source", "direct", F.when(F.col("message").isNotNull(), F.xxhash64("message")).alias("hash"), wording.cast("byte").alias("wording"), page.cast("byte").alias("page"))
+    said = cut(said)
+    direct_docs = said.where("direct").select("doc")
+    by_source = said.where("hash is not null").groupBy("hash", "wording", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("page") > 0).alias("pages"), F.max("page").alias("page"))
+    counted = by_source.groupBy("hash", "wording").agg(
+        F.sum("n").alias("docs"), F.count(F.lit(1)).alias("sources"), F.sum("pages").alias("pages"), F.count_if(F.col("pages") > 0).alias("page_sources"), F.max("page").alias("page")
     )
     wide = (F.col("docs") >= WIDE_DOCS) & (F.col("sources") >= WIDE_SOURCES)
-    page = (F.col("pages") >= PAGE_DOCS) & (F.col("page_sources") >= PAGE_SOURCES) & (F.col("pages") >= PAGE_SHARE * F.col("docs")) & F.col("message").rlike(_WORDS)
-    classed = cut(counted.where(F.col("message").rlike(_rule(WHOLE)) | (wide & F.col("message").rlike(_rule(BESIDE))) | page).select("hash"))
-    found = each.select("doc", "hash").join(broadcast_if_small(classed), "hash").select("doc")
-    return said.where(F.col("message") == DIRECT).select("doc").unionByName(found).distinct()
+    many = ((F.col("pages") >= PAGE_DOCS) & (F.col("page_sources") >= PAGE_SOURCES)) | ((F.col("page") == 2) & (F.col("pages") >= SHORT_DOCS) & (F.col("page_sources") >= PAGE_SOURCES))
+    classed = counted.where((F.col("wording") == RESIDUE) | (wide & (F.col("wording") == GOES_ALONG)) | (many & (F.col("pages") >= PAGE_SHARE * F.col("docs"))))
+    classed = cut(classed.select("hash"))
+    found = said.select("doc", "hash").join(broadcast_if_small(classed), "hash").select("doc")
+    return direct_docs.unionByName(found).distinct()
