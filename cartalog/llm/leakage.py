@@ -1,15 +1,14 @@
 """Evaluation texts leaking into training texts, found by a positional inverted index.
 
 The test side is bounded and fixed: its words get numbers, and training texts become arrays of these numbers. Terms of the index are three words
-in a row; the postings of test terms are stored as (term, document, position) and joined with the test items' postings, from the rarest
-terms of every stretch of an item on, so that no term brings more than a few items. Offset-adjusted, the hits of one passage fall on one
-diagonal or, with words put in or left out, on close ones. Where enough do, document and item are aligned word by word: a place is a
-stretch that matches but for small changes, rare words included, as stock phrases match in all but their names and numbers.
+in a row, counted over all training texts; of every stretch of an item the rarest are looked up: their postings are (term, document, position),
+intersected with the test items' own. Offset-adjusted, the hits of one passage fall on one diagonal or, with words put in or left out, on close
+ones. Where enough do, document and item are compared: LEAST_WORDS words in a row are a case whatever they are; else both are aligned word by word,
+and a place is a stretch that matches but for small changes, rare words included, as stock phrases match in all but their names and numbers.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +24,12 @@ from cartalog.session import cut
 LEAST_WORDS = 24
 #: A second place counts from so many words on.
 LEAST_PLACE = 8
-#: A term in at most so many items is rare; of every stretch of an item of WINDOW words, the KEPT rarest are looked up in any case.
-RARE_ITEMS, WINDOW, KEPT = 3, 12, 4
-#: Hits on close diagonals, one of them of a term with a rare word, that make a document worth an alignment; how far apart close ones are.
-LEAST_HITS, DRIFT = 4, 12
+#: Of every stretch of an item of WINDOW words, the KEPT terms rarest in the training texts are looked up, so any copy of a stretch hits them.
+WINDOW, KEPT = 12, 4
+#: Hits on close diagonals that make a document worth an alignment, if one of them is of a term with a rare word; how far apart close ones are.
+LEAST_HITS, DRIFT = 3, 12
+#: So many hits do in any case: every LEAST_WORDS words copied as they are have two stretches of WINDOW words.
+SURE_HITS = 2 * KEPT
 #: A word is rare if it is in so small a share of documents without such hits, and of items; so is any number. So much of a place's rare words must match.
 RARE_SHARE, RARE_ITEM_SHARE, RARE_MATCHED = 0.01, 0.03, 0.6
 #: What a word put in, left out or changed costs, in matching words.
@@ -51,21 +52,45 @@ def _item_words(items: DataFrame, item: str, text: str) -> dict[tuple[str, ...],
     return groups
 
 
-def _seed_rows(items: list[np.ndarray], size: int) -> list[tuple[int, int, int]]:
-    """(term, item, position) of the terms to be looked up."""
-    terms = [(i[:-2].astype(np.int64) * size + i[1:-1]) * size + i[2:] for i in items]
-    spread_over = Counter(t for own in terms for t in set(own.tolist()))
+def _terms(words: np.ndarray, size: int) -> np.ndarray:
+    """The terms that begin at each place but the last two, as numbers; -1 where a word has no number."""
+    a, b, c = words[:-2].astype(np.int64), words[1:-1].astype(np.int64), words[2:].astype(np.int64)
+    return np.where((a >= 0) & (b >= 0) & (c >= 0), (a * size + b) * size + c, -1)
+
+
+def _seed_rows(items: list[np.ndarray], terms: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(term, item, position) of the terms to be looked up; counts: how often each of the sorted terms is in the training texts."""
     rows = []
-    for k, own in enumerate(terms):
-        counts = np.array([spread_over[t] for t in own.tolist()])
-        kept = counts <= RARE_ITEMS
-        for start in range(max(1, len(own) - WINDOW + 1)):
-            part = counts[start : start + WINDOW]
-            kept[start + np.argsort(part, kind="stable")[:KEPT]] = True
+    for k, words in enumerate(items):
+        own = np.searchsorted(terms, _terms(words, size))
+        often = counts[own]
+        kept = np.zeros(len(own), dtype=bool)
+        for start in range(max(1, len(own) - (WINDOW - 2) + 1)):
+            kept[start + np.argsort(often[start : start + WINDOW - 2], kind="stable")[:KEPT]] = True
         rows += [(int(own[p]), k, int(p)) for p in np.flatnonzero(kept)]
     return rows
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a batch (doc, words) one after another, and where each document's begin, with the end of the last."""
+    lists = batch.column(1)
+    offsets = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _places(batch: pa.RecordBatch, terms: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document rows, places and indices of all occurrences of the sorted terms in a batch (doc, words)."""
+    words, offsets = _flat(batch)
+    if len(words) < 3 or not len(terms):
+        return (np.zeros(0, dtype=np.int64),) * 3
+    found = _terms(words, size)
+    at = np.minimum(np.searchsorted(terms, found), len(terms) - 1)
+    hit = np.flatnonzero(terms[at] == found)
+    row = np.searchsorted(offsets, hit, side="right") - 1
+    inside = hit + 2 < offsets[row + 1]
+    return row[inside], (hit - offsets[row])[inside], at[hit[inside]]
+
+
 def _best(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int, list[tuple[int, int]]]:
     """The best local alignment of a text of any length: spans in document and item, and the matching places (document, item).
 
@@ -108,6 +133,19 @@ def _local(doc: np.ndarray, item: np.ndarray) -> tuple[int, tuple[int, int, int,
     return int(table[end_item, end_doc]), (j, end_doc, k, end_item, matches)
 
 
+def copied(doc: np.ndarray, item: np.ndarray, least: int = LEAST_WORDS) -> bool:
+    """Whether the document holds so many words of the item in a row as they are, whatever words they are."""
+    text, width = np.ascontiguousarray(doc, dtype=np.int32).tobytes(), np.dtype(np.int32).itemsize
+    for k in range(len(item) - least + 1):
+        if (item[k : k + least] < 0).any():
+            continue
+        stretch, at = np.ascontiguousarray(item[k : k + least], dtype=np.int32).tobytes(), -1
+        while (at := text.find(stretch, at + 1)) >= 0:
+            if at % width == 0:
+                return True
+    return False
+
+
 def leaked_words(doc: np.ndarray, item: np.ndarray, rare: np.ndarray) -> int:
     """Words of the item that the document holds in order at its best place or two; words without number are -1.
 
@@ -115,14 +153,25 @@ def leaked_words(doc: np.ndarray, item: np.ndarray, rare: np.ndarray) -> int:
     """
     doc, found, places = doc.copy(), 0, []
     listed = np.unique(item[item >= 0])
+    telling_words = listed[rare[listed]]
     rare_at = {k for k, w in enumerate(item.tolist()) if w >= 0 and rare[w]}
 
     def telling(span: set[int], told: set[int]) -> bool:
         wanted = len(span & rare_at)
         return wanted > 0 and len(told & span & rare_at) >= RARE_MATCHED * wanted
 
-    # In LEAST_PLACE words with more than PENALTY matching ones to each change, so many match.
-    while np.isin(doc, listed).sum() > PENALTY * LEAST_PLACE // (PENALTY + 1):
+    while True:
+        # A place holds a rare word of the item; what is farther from all of them than a place is long belongs to none.
+        marks = np.flatnonzero(np.isin(doc, telling_words))
+        if not len(marks):
+            return found
+        steps = np.zeros(len(doc) + 1, dtype=np.int32)
+        np.add.at(steps, np.maximum(marks - 2 * len(item), 0), 1)
+        np.add.at(steps, np.minimum(marks + 2 * len(item) + 1, len(doc)), -1)
+        doc[np.cumsum(steps)[:-1] == 0] = -1
+        # In LEAST_PLACE words with more than PENALTY matching ones to each change, so many match.
+        if np.isin(doc, listed).sum() <= PENALTY * LEAST_PLACE // (PENALTY + 1):
+            return found
         d0, d1, i0, i1, matches = _best(doc, item)
         doc[d0:d1] = -1
         span, told = set(range(i0, i1)), {k for _, k in matches}
@@ -137,7 +186,6 @@ def leaked_words(doc: np.ndarray, item: np.ndarray, rare: np.ndarray) -> int:
         if found >= LEAST_WORDS:
             return found
         places.append((span, told))
-    return found
 
 
 def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, least: int = LEAST_WORDS) -> DataFrame:
@@ -167,32 +215,59 @@ def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, it
     texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     texts = cut(spread(texts).mapInArrow(encode, f"doc {doc_kind}, words array<int>").where("size(words) >= 3"))
 
-    # The index of the training texts: postings of the test terms, joined with the test items' own.
-    lookup = F.broadcast(spark.createDataFrame(_seed_rows(coded, size), "term bigint, item int, at int"))
-    at = F.sequence(F.lit(1), F.size("words") - 2)
-    word = lambda k: F.element_at("words", k).cast("bigint")
-    triples = F.transform(at, lambda k: F.when((word(k) >= 0) & (word(k + 1) >= 0) & (word(k + 2) >= 0), (word(k) * size + word(k + 1)) * size + word(k + 2)))
-    postings = texts.select("doc", F.posexplode(triples).alias("pos", "term")).where("term is not null")
+    # How often each test term, and in how many documents each test word, is in the training texts.
+    terms = np.unique(np.concatenate([_terms(words, size) for words in coded]))
+    terms_sent = spark.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = terms_sent.value
+        seen = np.zeros(len(known) + size, dtype=np.int64)
+        for batch in batches:
+            seen[: len(known)] += np.bincount(_places(batch, known, size)[2], minlength=len(known))
+            words, offsets = _flat(batch)
+            # Each word once a document.
+            pairs = np.unique(np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(offsets))[words >= 0] * size + words[words >= 0])
+            seen[len(known) :] += np.bincount(pairs % size, minlength=size)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["k", "n"])
+
+    def counted(of: DataFrame) -> np.ndarray:
+        out = np.zeros(len(terms) + size, dtype=np.int64)
+        sums = of.mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row for each test term and word
+        out[sums.column("k").to_numpy()] = sums.column("n").to_numpy()
+        return out
+
+    total = counted(texts)
+    seeds = _seed_rows(coded, terms, total[: len(terms)], size)
+    looked_up = np.unique([t for t, _, _ in seeds])
+    seeds_sent = spark.sparkContext.broadcast(terms[looked_up])
+
+    # The index of the training texts: postings of the terms looked up, intersected with the test items' own after adjusting offsets.
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, term = _places(batch, seeds_sent.value, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(looked_up[term])], names=["doc", "pos", "term"])
+
+    postings = texts.mapInArrow(post, f"doc {doc_kind}, pos int, term bigint")
+    # Of the bounded test side, as MOST_WORDS says.
+    lookup = F.broadcast(spark.createDataFrame(pa.table({"term": [t for t, _, _ in seeds], "item": pa.array([i for _, i, _ in seeds], type=pa.int32()), "at": pa.array([p for _, _, p in seeds], type=pa.int32())})))
     hits = postings.join(lookup, "term").select("doc", "item", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
     bands = F.array(F.floor(F.col("diagonal") / DRIFT) * 2, F.floor((F.col("diagonal") + DRIFT // 2) / DRIFT) * 2 + 1)
     banded = hits.select("doc", "item", "at", F.explode(bands).alias("band")).groupBy("doc", "item", "band").agg(F.collect_set("at").alias("ats"))
     dense = cut(banded.where(F.size("ats") >= LEAST_HITS).select("doc", "item", "ats"))
 
     # How many documents each test word is in, of all that no item may be in: leaks, however many, make none of their words common.
-    others = texts.join(dense.select("doc").distinct(), "doc", "left_anti")
-    seen = others.select(F.explode(F.array_distinct("words")).alias("word")).where("word >= 0").groupBy("word").count()
-    frequency = np.zeros(size)
-    for row in seen.collect():  # one row per test word
-        frequency[row["word"]] = row["count"]
+    hit = dense.select("doc").distinct()
+    frequency = (total - counted(texts.join(hit, "doc", "left_semi")))[len(terms) :]
     in_items = np.zeros(size)
     for words in coded:
         in_items[np.unique(words)] += 1
-    rare = (frequency <= max(RARE_SHARE * others.count(), 2)) & (in_items <= max(RARE_ITEM_SHARE * len(coded), 2))
+    rare = (frequency <= max(RARE_SHARE * (texts.count() - hit.count()), 2)) & (in_items <= max(RARE_ITEM_SHARE * len(coded), 2))
     rare |= np.array([w[0].isdigit() for w in sorted(numbers)])
 
     # Stock phrases hit one another everywhere; terms with a rare word do not.
     telling = [(k, [p for p in range(len(words) - 2) if rare[words[p : p + 3]].any()]) for k, words in enumerate(coded)]
-    kept = dense.join(F.broadcast(spark.createDataFrame(telling, "item int, telling array<int>")), "item").where(F.arrays_overlap("ats", "telling"))
+    kept = dense.join(F.broadcast(spark.createDataFrame(telling, "item int, telling array<int>")), "item").where(F.arrays_overlap("ats", "telling") | (F.size("ats") >= SURE_HITS))
     pairs = kept.select("doc", "item").distinct()
     by_doc = pairs.groupBy("doc").agg(F.collect_set("item").alias("items"))  # at most the bounded number of items
     rare_sent = spark.sparkContext.broadcast(rare)
@@ -204,7 +279,7 @@ def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, it
             for k in range(batch.num_rows):
                 words = np.array(batch.column(1)[k].values, dtype=np.int32)
                 for i in batch.column(2)[k].as_py():
-                    if leaked_words(words, items_words[i], rare_words) >= least:
+                    if copied(words, items_words[i], least) or leaked_words(words, items_words[i], rare_words) >= least:
                         keys.append(k)
                         found.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, type=pa.int64())), pa.array(found, type=pa.int32())], names=["doc", "item"])

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cartalog.llm.leakage import _best, _local, leaked, leaked_words
+from cartalog.llm.leakage import _best, _local, copied, leaked, leaked_words
 from cartalog.llm.words import plain_words
 
 PARTS = ("bra", "klu", "ste", "gro", "mi", "fö", "na", "ti", "lo", "pu")
@@ -114,3 +114,36 @@ def test_stock_phrases_take_no_place():
     assert leaked_words(doc(stock, more, stock, more), item, rare) == 0
     assert leaked_words(doc(stock, altered(own), more), item, rare) == 12
     assert leaked_words(doc(altered(own), stock, altered(own)), item, rare) == 12
+
+
+def test_ordinary_words_copied_as_they_are(spark):
+    """28 words in a row that all stand in many other texts are a case; 20 are none."""
+    rng = random.Random(9)
+    common = "the of and to in a is that it for was on are with as his they at be this from have or by one had not but what all".split()
+    items = {k: [rng.choice(common) for _ in range(50)] for k in range(5)}
+    docs = {k: [rng.choice(common) for _ in range(60)] for k in range(300)}
+    docs[300], docs[301] = docs[0][:20] + items[2][10:38] + docs[1][:20], docs[0][:20] + items[2][10:30] + docs[1][:20]
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id int, text string")
+    i = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id int, text string")
+    assert {tuple(r) for r in leaked(d, "doc_id", "text", i, "item_id", "text").collect()} == {(300, 2)}
+    assert copied(np.array([7, *range(24)]), np.arange(30)) and not copied(np.arange(23), np.arange(30)) and not copied(np.zeros(0), np.arange(30))
+
+
+def test_recall_over_planted_edits(spark):
+    """Passages of 30 to 45 words with a word changed, put in or left out every seven words on the average, beside texts of the same phrases."""
+    rng = random.Random(12)
+    items = {k: [w for _ in range(7) for w in sentence(rng)] for k in range(60)}
+    docs, want = {}, set()
+    for d in range(600):
+        words = [w for _ in range(rng.randint(3, 7)) for w in sentence(rng)]
+        if d % 3 == 0:
+            k, size = rng.randrange(60), rng.randint(30, 45)
+            start = rng.randrange(max(1, len(items[k]) - size))
+            part = [x for w in items[k][start : start + size] for x in (rng.choice([[], ["other"], [w, "more"]]) if rng.random() < 1 / 7 else [w])]
+            words = words[:12] + part + words[12:]
+            want.add((d, k))
+        docs[d] = " ".join(words)
+    d, i = spark.createDataFrame(list(docs.items()), "doc_id int, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id int, text string")
+    got = {tuple(r) for r in leaked(d, "doc_id", "text", i, "item_id", "text").collect()}
+    print(len(got & want), len(want), len(got - want))
+    assert len(got & want) >= 0.9 * len(want) and not got - want
