@@ -10,6 +10,8 @@ template languages left in a text, and filler also is what repeats a word or is
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +58,11 @@ FILLER = (
     "nullam semper autem cursus lacus vestibulum pellentesque mauris vivamus praesent curabitur phasellus fusce donec etiam aenean quisque suspendisse sit"
 ).split()
 #: What fingers write on a keyboard to fill a field.
-MASHED = "asdf|asd|asdfg|asdfgh|asdfjkl|sdfg|dfgh|fghj|ghjk|hjkl|jkl|jklö|qwer|qwert|qwerty|qwertz|qwertzu|azerty|wert|yxcv|yxcvb|zxcv|zxcvb|xxx+|blabla|bla|foo|bar|foobar|baz|test"
+MASHED = "asdf asd asdfg asdfgh asdfjkl sdfg dfgh fghj ghjk hjkl jkl jklö qwer qwert qwerty qwertz qwertzu azerty wert yxcv yxcvb zxcv zxcvb blabla bla foo bar foobar baz test".split()
 
 _SCRIPT = r"(?:java ?scripts?|scripts?|scripting|les scripts|skripte?)"
 _CODE = "(?:not found|forbidden|bad gateway|bad request|unauthorized|internal server error|service (?:temporarily )?unavailable|gateway time ?out|too many requests|moved permanently|method not allowed|gone)"
-#: Messages that are, as a whole, residue. They are read without marks but : and #, numbers as 0, ids as 1, addresses as 2.
+#: Messages that are, as a whole, residue. They are read without marks but : and #; numbers, ids and addresses are 0.
 WHOLE = (
     # scripts needed
     rf"(?:(?:please|you (?:must|need to|have to)|kindly) )?(?:enable|activate|turn on|allow|switch on) {_SCRIPT}\b.*",
@@ -76,7 +78,7 @@ WHOLE = (
     r"(?:http |server )?(?:error|fehler|erreur|errore) (?:code )?0 ?:? ?.*",
     rf"(?:http |error )?0 ?:? {_CODE}\b.*|{_CODE}",
     r"(?:internal server error|interner serverfehler|erreur interne du serveur)\b.*|(?:page|file|seite|datei|site) (?:not found|nicht gefunden|introuvable|non trouvée)\b.*|la page\b.*?(?:est introuvable|n'existe pas)\b.*",
-    r"(?:access|permission) denied\b(?: request id .+)?|zugriff verweigert|accès (?:refusé|interdit)|request id [0-9a-z]+",
+    r"(?:access|permission) denied\b(?: request id .+)?|zugriff verweigert|accès (?:refusé|interdit)|request id \S+",
     r"traceback most recent call last:?|file \S+ line 0(?: in \w+)?|stack trace:?|#0 .+|at \S+\(\S+:0\)",
     r"(?:fatal |parse |syntax |runtime |unhandled |uncaught )(?:error|exception)\b.*|uncaught exception\b.*|(?:key|type|value|name|index|attribute|import|runtime|null ?pointer|io|sql)(?:error|exception)\b:?.*",
     r"(?:warning|notice|error|fatal): ?(?:could not|cannot|can't|failed|undefined|mysql|include|division|call to|unable)\b.*|(?:could not|cannot|failed to|unable to) connect to\b.*",
@@ -101,39 +103,63 @@ BESIDE = (
     r"the \w+ (?:cannot|can not|can't) be (?:shown|displayed|loaded)\b.*|(?:coming soon|under construction|im aufbau|en construction)",
 )
 
-_WEB = r"(?:https?://|www\.)\S+"
-_MAIL = r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)+"
-_ADDRESS = r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
-_DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}(?:t[0-9:.]+z?)?\b|\b[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}\b"
-_ID = r"\b(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{6,}+\b|\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b"
+_WEB = r"(?:https?://|www\.)\S+|(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)+"
+#: Numbers, dates, times and numeric addresses, and ids of letters and digits.
+_NUMBER = r"\b(?=[a-f]*+[0-9])[0-9a-f]{6,}+(?:-[0-9a-f]{4,})*+\b|[0-9]++(?:[.:,/-][0-9]++)*+(?:t[0-9:.]++z?)?"
+#: Stand for the end of a sentence and for a word's hyphen at the end of a line.
+_SENTENCE, _HYPHEN = "\x01", "\x02"
 
 
-def readable(text: Column) -> Column:
-    """Without invisible characters and entities of mark-up; runs of blanks are one."""
-    text = F.regexp_replace(text, r"[\p{Cf}͏︀-️]", "")
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#123;", "{"), ("&#125;", "}"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return F.regexp_replace(text, r"[\p{Zs}\t]+", " ")
+def _one_of(words: Iterable[str]) -> str:
+    """A pattern for any of the words that looks at each letter once."""
+    tree: dict[str, dict] = {}
+    for word in words:
+        node = tree
+        for ch in f"{word}\0":
+            node = node.setdefault(ch, {})
+
+    def written(node: dict[str, dict]) -> str:
+        parts = [ch + written(below) for ch, below in sorted(node.items()) if ch != "\0"]
+        both = parts[0] if len(parts) == 1 and "\0" not in node else f"(?:{'|'.join(parts)})"
+        return "" if not parts else both + ("?" if "\0" in node else "")
 
+    return written(tree)
 
-def masked(text: Column) -> Column:
-    """A readable text in lower case without mark-up, addresses, dates, ids and numbers masked; lines stay lines."""
-    text = F.regexp_replace(F.lower(text), "</?[a-z!][^<>%]*+>", "\n")
-    for pattern, by in ((_WEB, " 2 "), (_MAIL, " 2 "), (_ADDRESS, " 2 "), (_DATE, " 0 "), (_ID, " 1 "), (r"[0-9]+(?:[.:,][0-9]+)*", "0")):
+
+def readable(rows: DataFrame) -> DataFrame:
+    """rows with a text without invisible characters and entities of mark-up; runs of blanks are one."""
+    rows = rows.withColumn("text", F.regexp_replace("text", r"[\p{Cf}\x01\x02͏︀-️]", ""))
+    decoded = F.col("text")
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#123;", "{"), ("&#125;", "}"), ("&nbsp;", " "), ("&amp;", "&")):
+        decoded = F.replace(decoded, F.lit(entity), F.lit(sign))
+    return rows.withColumn("text", F.regexp_replace(F.when(F.contains("text", F.lit("&")), decoded).otherwise(F.col("text")), r"[\p{Zs}\t]+", " "))
+
+
+def masked(rows: DataFrame) -> DataFrame:
+    """rows with their readable text in lower case without mark-up and marks, addresses, dates, ids and numbers masked; ends of lines and sentences stay."""
+    rows = rows.withColumn("text", F.regexp_replace(F.lower("text"), "</?[a-z!][^<>%]*+>", "\n"))
+    web = F.contains("text", F.lit("@")) | F.contains("text", F.lit("://")) | F.contains("text", F.lit("www."))
+    text = F.regexp_replace(F.when(web, F.regexp_replace("text", _WEB, " 0 ")).otherwise(F.col("text")), _NUMBER, "0")
+    for pattern, by in (
+        (r"\s*[\r\n]+[> |]*+\s*", "\n"),
+        (r"(?<=[.!?…])\s+", _SENTENCE),
+        (r"(?<=\w)-\n", _HYPHEN),
+        (r"[^\p{L}\p{M}0-9:#'’<>%(/.\n\x01\x02]+|[(.](?=[\s\x01]|$)|(?<=[\s\x01])[('’]|^[('’]|['’](?=[\s\x01]|$)", " "),
+        (r"[( ]+", " "),
+        (r" ?([\n\x01\x02]) ?", "$1"),
+    ):
         text = F.regexp_replace(text, pattern, by)
-    return text
+    return rows.withColumn("text", text)
 
 
-def _lines(text: Column) -> Column:
-    """The lines and sentences of a masked text, without marks."""
-    text = F.regexp_replace(text, r"(?<=[.!?…])\s+|\s*[\r\n]+[> |]*\s*", "\n")
-    text = F.regexp_replace(text, r"[^\p{L}\p{M}0-9:#'’<>%(/.\n]+|[(.](?=\s|$)|(?m:(?<=\s|^)[('’])|['’](?=\s|$)", " ")
-    return F.split(F.regexp_replace(text, r"[( ]+", " "), " ?\n ?")
+def _bare(text: Column) -> Column:
+    """The lines and sentences of a masked text."""
+    return F.split(text, "[\n\x01\x02]+")
 
 
 def _joined(text: Column) -> Column:
-    """A masked text with its wrapped lines joined."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?<=\w)- ?\n[> |]*(?=\w)", ""), r"(?: ?\n[> |]*+)++", " ")
+    """The sentences of a masked text with its wrapped lines joined."""
+    return F.split(F.regexp_replace(F.replace(text, F.lit(_HYPHEN), F.lit("")), "\n+", " "), "\x01+")
 
 
 def has_placeholder(text: Column) -> Column:
@@ -142,12 +168,11 @@ def has_placeholder(text: Column) -> Column:
 
 
 def is_filler(text: Column) -> Column:
-    """A word five times in a row, keys mashed three times, or eight words in a row of which many are filler's."""
+    """A word five times in a row, keys mashed three times, or eight words in a row of which one in three at least is filler's."""
     lower = F.lower(text)
-    # Runs in which one word in three at least is filler's.
-    words = "|".join(FILLER)
-    run = rf"(?:\b(?:{words})\b\W+(?:\w+\W+){{0,2}}){{7}}"
-    return lower.rlike(r"(?<!\w)(\p{L}{2,}+)(?:[\s,.]+\1(?!\w)){4}") | lower.rlike(rf"(?<!\w)(?:{MASHED})(?:[\s,.]+(?:{MASHED})(?!\w)){{2}}") | lower.rlike(run)
+    mashed = rf"(?:{_one_of(MASHED)}|xxx++)(?!\w)"
+    run = rf"(?:\b{_one_of(FILLER)}\b\W+(?:\w+\W+){{0,2}}){{7}}"
+    return lower.rlike(r"(?<!\w)(\p{L}{2,}+)(?:[\s,.]+\1(?!\w)){4}") | lower.rlike(rf"(?<!\w){mashed}(?:[\s,.]+{mashed}){{2}}") | lower.rlike(run)
 
 
 def _rule(patterns: tuple[str, ...]) -> str:
@@ -161,14 +186,13 @@ def residue(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame:
     taken whole, however long; repeated rows change nothing but the counts; an empty table gives an empty one. Other columns play no part.
     """
     rows = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(source), F.lit(""))).alias("source")))
-    rows = rows.where("doc is not null and text is not null").select("doc", "source", readable(F.col("text")).alias("text"))
+    rows = readable(rows.where("doc is not null and text is not null"))
     # One pass over the texts: what is kept of them are the hashes of all messages and of the whole as one, with what their wording tells, as shipping
     # every message's text would cost more; a placeholder or filler, which marks or repetition tell, is a message without hash.
-    direct = has_placeholder(F.col("text")) | is_filler(F.col("text"))
+    made = masked(rows.withColumn("direct", has_placeholder(F.col("text")) | is_filler(F.col("text"))))
+    wrapped = F.when(F.contains("text", F.lit("\n")) | F.contains("text", F.lit(_HYPHEN)), _joined(F.col("text"))).otherwise(F.array().cast("array<string>"))
     # What goes through an array of one is made once, not once for each use.
-    made = rows.select("doc", "source", direct.alias("direct"), F.explode(F.array(masked(F.col("text")))).alias("bare"))
-    wrapped = F.when(F.contains("bare", F.lit("\n")), _lines(_joined(F.col("bare")))).otherwise(F.array().cast("array<string>"))
-    made = made.select("doc", "source", "direct", F.explode(F.array(F.struct(_lines(F.col("bare")).alias("bare"), wrapped.alias("joined")))).alias("l"))
+    made = made.select("doc", "source", "direct", F.explode(F.array(F.struct(_bare(F.col("text")).alias("bare"), wrapped.alias("joined")))).alias("l"))
     whole = F.trim(F.concat_ws(" ", F.array_distinct(F.when(F.size("l.joined") > 0, F.col("l.joined")).otherwise(F.col("l.bare")))))
     made = made.select("doc", "source", "direct", F.transform(F.concat("l.bare", "l.joined"), lambda m: F.trim(m)).alias("parts"), F.explode(F.array(whole)).alias("whole"))
     kept = F.filter(F.array_distinct(F.concat("parts", F.array("whole"))), lambda m: m != "")
