@@ -1,6 +1,6 @@
 import pytest
 
-from cartalog.operators.packed import split_packed
+from cartalog.operators.packed import resolve, split_packed
 
 CASES = [
     ("338;S-70", ["338", "S-70"]),
@@ -45,3 +45,16 @@ def test_least_and_empty(spark):
 def test_signs(spark, sign):
     df = spark.createDataFrame([(1, sign.join(["A 1", "B-2", "3.4"]))], "k int, v string")
     assert [r["item"] for r in split_packed(df, "k", "v").orderBy("pos").collect()] == ["A 1", "B-2", "3.4"]
+
+
+TIGHT = [("S1/2, S3", ["S1/2", "S3"]), ("A/B;C/D", ["A/B", "C/D"]), ("302/399", ["302", "399"]), ("12 / 14, 16", ["12", "14", "16"]), ("A/B/C und D", ["A/B/C", "D"]), ('"x"/y;z', ["x", "y", "z"]), ("/a;b/", ["a", "b"])]
+
+
+def test_signs_that_belong_to_values(spark):
+    df = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(TIGHT)], "k int, v string")
+    for tight, want in (("/", dict(enumerate(w for _, w in TIGHT))), ("", {0: ["S1", "2", "S3"], 1: ["A", "B", "C", "D"], 4: ["A", "B", "C", "D"]})):
+        got = {}
+        for r in split_packed(df, "k", "v", tight=tight).orderBy("k", "pos").collect():
+            got.setdefault(r["k"], []).append(r["item"])
+        assert {k: got[k] for k in want} == want
+    assert resolve("x/r,l", "/") == [(1, 3, False), (5, 5, False)] and resolve("w") == [(1, 1, False)] and resolve("") == []
