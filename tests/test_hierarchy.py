@@ -56,3 +56,15 @@ def test_only_loops(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 1)], "id bigint, parid bigint")
     kinds = {r["id"]: r["node_kind"] for r in hierarchy(df, "id", "parid", core_rows=0).collect()}
     assert kinds == {1: "on_cycle", 2: "on_cycle", 3: "on_cycle", 9: "below_cycle"}
+
+
+def test_long_chains_and_large_loops(spark):
+    """Chains with branches beside loops of several sizes, all by doubling steps."""
+    rng = random.Random(7)
+    par = {0: None, **{i: i - 1 for i in range(1, 700)}, **{1000 + i: rng.randrange(700) for i in range(300)}}
+    for start, size in ((2000, 1), (2010, 2), (2100, 37), (2200, 128)):
+        par.update({start + i: start + (i + 1) % size for i in range(size)})
+        par[start] = start + 1 if size > 1 else start + 5000
+    par.update({3000 + i: rng.choice([2010, 2101, 2205, *range(3000, 3000 + i)]) for i in range(60)})
+    df = spark.createDataFrame(list(par.items()), "id bigint, parid bigint")
+    assert rows(hierarchy(df, "id", "parid", core_rows=0)) == brute(par)
