@@ -2,7 +2,7 @@
 
 The test side is bounded and fixed: its words get numbers, and training texts become arrays of these numbers. Terms of the index are three words
 in a row, counted over all training texts; of every stretch of an item the rarest are looked up: their postings are (term, document, position),
-intersected with the test items' own. Offset-adjusted, the hits of one passage fall on one diagonal or, with words put in or left out, on close
+kept by document and intersected with the test items' own. Offset-adjusted, the hits of one passage fall on one diagonal or, with words put in or left out, on close
 ones. Where enough do, document and item are compared: LEAST_WORDS words in a row are a case whatever they are; else both are aligned word by word,
 and a place is a stretch that matches but for small changes, rare words included, as stock phrases match in all but their names and numbers.
 """
@@ -27,8 +27,8 @@ LEAST_PLACE = 8
 #: Of every stretch of an item of WINDOW words, the KEPT terms rarest in the training texts are looked up, so any copy of a stretch hits them.
 WINDOW, KEPT = 12, 4
 #: Hits on close diagonals that make a document worth an alignment, if one of them is of a term with a rare word; how far apart close ones are.
-LEAST_HITS, DRIFT = 3, 12
-#: So many hits do in any case: every LEAST_WORDS words copied as they are have two stretches of WINDOW words.
+LEAST_HITS, DRIFT = 4, 12
+#: So many hits make it worth a look for words copied as they are: each LEAST_WORDS of those have two stretches of WINDOW words.
 SURE_HITS = 2 * KEPT
 #: A word is rare if it is in so small a share of documents without such hits, and of items; so is any number. So much of a place's rare words must match.
 RARE_SHARE, RARE_ITEM_SHARE, RARE_MATCHED = 0.01, 0.03, 0.6
@@ -242,50 +242,80 @@ def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, it
     looked_up = np.unique([t for t, _, _ in seeds])
     seeds_sent = spark.sparkContext.broadcast(terms[looked_up])
 
-    # The index of the training texts: postings of the terms looked up, intersected with the test items' own after adjusting offsets.
+    # The index of the training texts: postings of the terms looked up, kept by document.
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, place, term = _places(batch, seeds_sent.value, size)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(looked_up[term])], names=["doc", "pos", "term"])
-
-    postings = texts.mapInArrow(post, f"doc {doc_kind}, pos int, term bigint")
-    # Of the bounded test side, as MOST_WORDS says.
-    lookup = F.broadcast(spark.createDataFrame(pa.table({"term": [t for t, _, _ in seeds], "item": pa.array([i for _, i, _ in seeds], type=pa.int32()), "at": pa.array([p for _, _, p in seeds], type=pa.int32())})))
-    hits = postings.join(lookup, "term").select("doc", "item", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
-    bands = F.array(F.floor(F.col("diagonal") / DRIFT) * 2, F.floor((F.col("diagonal") + DRIFT // 2) / DRIFT) * 2 + 1)
-    banded = hits.select("doc", "item", "at", F.explode(bands).alias("band")).groupBy("doc", "item", "band").agg(F.collect_set("at").alias("ats"))
-    dense = cut(banded.where(F.size("ats") >= LEAST_HITS).select("doc", "item", "ats"))
+            held, ends = np.unique(row, return_counts=True)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (term, place)]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(held)) for c in batch.columns), *lists], names=["doc", "words", "terms", "places"])
+
+    index = cut(texts.mapInArrow(post, f"doc {doc_kind}, words array<int>, terms array<int>, places array<int>"))
+    own = sorted((int(k), i, p) for k, (_, i, p) in zip(np.searchsorted(looked_up, [t for t, _, _ in seeds]), seeds, strict=True))
+    starts = np.searchsorted([k for k, _, _ in own], np.arange(len(looked_up) + 1))
+    lists_sent = spark.sparkContext.broadcast((starts, np.array([i for _, i, _ in own]), np.array([p for _, _, p in own])))
+
+    # Intersection with the test items' own lists, offsets adjusted: all of a document's hits are in its row, so nothing is shuffled.
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, item_of, at_of = lists_sent.value
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
+                lists = batch.column(2)
+                offsets = lists.offsets.to_numpy()
+                term = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+                place = batch.column(3).values.to_numpy()[offsets[0] : offsets[-1]]
+                row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+                many = starts[term + 1] - starts[term]
+                pick = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[term], many)
+                row, item, at = np.repeat(row, many), item_of[pick], at_of[pick]
+                diagonal = np.repeat(place, many) - at
+                band = np.concatenate([diagonal // DRIFT * 2, (diagonal + DRIFT // 2) // DRIFT * 2 + 1])
+                hits = np.stack([np.tile(row, 2), np.tile(item, 2), band, np.tile(at, 2)])
+                hits = hits[:, np.lexsort(hits[::-1])]
+                hits = hits[:, np.flatnonzero(np.r_[True, (hits[:, 1:] != hits[:, :-1]).any(axis=0)])] if hits.shape[1] else hits
+                group = np.r_[True, (hits[:3, 1:] != hits[:3, :-1]).any(axis=0)].cumsum() - 1 if hits.shape[1] else np.zeros(0, dtype=np.int64)
+                dense = hits[:, np.bincount(group)[group] >= LEAST_HITS] if hits.shape[1] else hits
+                sure = np.bincount(group)[group] >= SURE_HITS if hits.shape[1] else np.zeros(0, dtype=bool)
+                found: dict[int, dict[int, tuple[set[int], list[bool]]]] = {}
+                for r, i, p, s in zip(dense[0].tolist(), dense[1].tolist(), dense[3].tolist(), sure[np.bincount(group)[group] >= LEAST_HITS].tolist() if hits.shape[1] else [], strict=True):
+                    entry = found.setdefault(r, {}).setdefault(i, (set(), [False]))
+                    entry[0].add(p)
+                    entry[1][0] |= s
+                rows = sorted(found)
+                columns = [[list(found[r]) for r in rows], [[sorted(e[0]) for e in found[r].values()] for r in rows], [[e[1][0] for e in found[r].values()] for r in rows]]
+                kinds = (pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.bool_()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, type=pa.int64())), batch.column(1).take(pa.array(rows, type=pa.int64())), *(pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))], names=["doc", "words", "items", "ats", "sure"])
+
+    dense = cut(index.mapInArrow(intersect, f"doc {doc_kind}, words array<int>, items array<int>, ats array<array<int>>, sure array<boolean>"))
 
     # How many documents each test word is in, of all that no item may be in: leaks, however many, make none of their words common.
-    hit = dense.select("doc").distinct()
-    frequency = (total - counted(texts.join(hit, "doc", "left_semi")))[len(terms) :]
+    frequency = (total - counted(dense.select("doc", "words")))[len(terms) :]
     in_items = np.zeros(size)
     for words in coded:
         in_items[np.unique(words)] += 1
-    rare = (frequency <= max(RARE_SHARE * (texts.count() - hit.count()), 2)) & (in_items <= max(RARE_ITEM_SHARE * len(coded), 2))
+    rare = (frequency <= max(RARE_SHARE * (texts.count() - dense.count()), 2)) & (in_items <= max(RARE_ITEM_SHARE * len(coded), 2))
     rare |= np.array([w[0].isdigit() for w in sorted(numbers)])
 
     # Stock phrases hit one another everywhere; terms with a rare word do not.
-    telling = [(k, [p for p in range(len(words) - 2) if rare[words[p : p + 3]].any()]) for k, words in enumerate(coded)]
-    kept = dense.join(F.broadcast(spark.createDataFrame(telling, "item int, telling array<int>")), "item").where(F.arrays_overlap("ats", "telling") | (F.size("ats") >= SURE_HITS))
-    pairs = kept.select("doc", "item").distinct()
-    by_doc = pairs.groupBy("doc").agg(F.collect_set("item").alias("items"))  # at most the bounded number of items
-    rare_sent = spark.sparkContext.broadcast(rare)
+    telling = [{p for p in range(len(words) - 2) if rare[words[p : p + 3]].any()} for words in coded]
+    known_sent = spark.sparkContext.broadcast((rare, telling))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items_words, rare_words = shared.value[1], rare_sent.value
+        items_words, (rare_words, telling_at) = shared.value[1], known_sent.value
         for batch in batches:
             keys, found = [], []
             for k in range(batch.num_rows):
                 words = np.array(batch.column(1)[k].values, dtype=np.int32)
-                for i in batch.column(2)[k].as_py():
-                    if copied(words, items_words[i], least) or leaked_words(words, items_words[i], rare_words) >= least:
+                for i, ats, sure in zip(*(batch.column(c)[k].as_py() for c in (2, 3, 4)), strict=True):
+                    if (sure and copied(words, items_words[i], least)) or (not telling_at[i].isdisjoint(ats) and leaked_words(words, items_words[i], rare_words) >= least):
                         keys.append(k)
                         found.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, type=pa.int64())), pa.array(found, type=pa.int32())], names=["doc", "item"])
 
     # Few bytes, much work: shared out over all cores, whatever the sizes.
     tasks = 4 * spark.sparkContext.defaultParallelism
-    cases = texts.join(by_doc, "doc").select("doc", "words", "items").repartition(tasks).mapInArrow(align, f"doc {doc_kind}, item int").distinct()
+    cases = dense.repartition(tasks).mapInArrow(align, f"doc {doc_kind}, item int").distinct()
     names = spark.createDataFrame([(k, i) for k, ids in enumerate(groups.values()) for i in ids], f"item int, id {item_kind}")
     return cases.join(F.broadcast(names), "item").select("doc", F.col("id").alias("item")).distinct()
