@@ -4,9 +4,10 @@ Near points: bands of latitude are cut into cells whose width in degrees grows t
 sent, as the other point of a pair, to every cell that its circle may touch, across the 180th meridian and the poles: an equi-join on
 cells, then the exact distance.
 
-Regions: polygons are triangulated by ear clipping; triangles are put in order along a space-filling curve and shared out in blocks of a
-bounded number. Each block becomes a bounding-volume hierarchy in arrays, sent to the executors, and only points within the block's own
-box are run through it, batch by batch: hierarchy levels, then exact tests of the candidate triangles, then one row per point and region.
+Regions: polygons are triangulated by ear clipping. A bounded number of triangles becomes one bounding-volume hierarchy in arrays that is sent to
+the executors; more are shared out with the points by cells of a size that fits each triangle, in one shuffle, and every task builds the hierarchy
+of its own triangles. Points are run through it batch by batch: hierarchy levels, then exact tests of the candidate triangles, then one row per
+point and region.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartalog.functions.geo import EARTH_RADIUS, haversine, known_position
-from cartalog.session import cut
+from cartalog.session import broadcast_if_small, cut, small
 
 #: Sides of a cell as multiples of the distance: wider cells send fewer copies and compare more pairs.
 CELL_SIDES = 4
-#: Triangles, at most, of one hierarchy sent to the executors: 10 MB.
+#: Triangles, at most, of a hierarchy sent to the executors, 10 MB, and of a cell's share; ten times as many points make a share.
 BLOCK_TRIANGLES = 100_000
+#: Sides of the widest cells, in degrees, and how often they are halved at most.
+WIDEST_CELL, MOST_LEVELS = 720.0, 24
 LEAF_TRIANGLES = 8
 
 
@@ -85,36 +88,66 @@ def box_ring(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def ear_clip(ring: list[tuple[float, float]]) -> list[tuple[tuple[float, float], ...]]:
-    """Triangles that fill a simple polygon. A ring without area gives the triangles of its line, so that points on it are found."""
+    """Triangles that fill a simple polygon. A ring without area gives the triangles of its line, so that points on it are found.
+
+    Only reflex corners can lie in an ear; they are kept in order of x, so that an ear is held against those between its own ends, all at once.
+    A corner is looked at again when a neighbour of it goes. A ring that crosses itself is no simple polygon: it still ends, some ear being taken.
+    """
     points = [p for k, p in enumerate(ring) if p != ring[k - 1]] or ring[:1]
     if len(points) < 3:
         return [(points[0], points[-1], points[-1])] if points else []
-
-    def turn(a, b, c):
-        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-
     area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1], strict=True))
     if area < 0:
         points.reverse()
-    out = []
-    while len(points) > 3:
-        for k in range(len(points)):
-            a, b, c = points[k - 1], points[k], points[(k + 1) % len(points)]
-            if turn(a, b, c) <= 0:
-                continue
-            if any(p not in (a, b, c) and turn(a, b, p) >= 0 and turn(b, c, p) >= 0 and turn(c, a, p) >= 0 for p in points):
-                continue
-            break
-        else:  # only straight corners are left
-            k = next((k for k in range(len(points)) if turn(points[k - 1], points[k], points[(k + 1) % len(points)]) == 0), 0)
-            a, b, c = points[k - 1], points[k], points[(k + 1) % len(points)]
-        out.append((a, b, c))
-        points.pop(k)
-    return [*out, tuple(points)]
+    n = len(points)
+    before, after = [*range(-1, n - 1)], [*range(1, n), 0]
+    before[0] = n - 1
+
+    def turn(k: int) -> float:
+        a, b, c = points[before[k]], points[k], points[after[k]]
+        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+    reflex = sorted((k for k in range(n) if turn(k) <= 0), key=lambda k: points[k][0])
+    rank = {k: r for r, k in enumerate(reflex)}
+    x, y = (np.array([points[k][c] for k in reflex]) for c in (0, 1))
+    alive = np.ones(len(reflex), dtype=bool)
+
+    def is_ear(k: int) -> bool:
+        if turn(k) <= 0:
+            return False
+        a, b, c = points[before[k]], points[k], points[after[k]]
+        low, high = np.searchsorted(x, min(a[0], b[0], c[0])), np.searchsorted(x, max(a[0], b[0], c[0]), side="right")
+        px, py, inside = x[low:high], y[low:high], alive[low:high].copy()
+        for p in (a, b, c):
+            inside &= (px != p[0]) | (py != p[1])
+        for p, q in ((a, b), (b, c), (c, a)):
+            inside &= (q[0] - p[0]) * (py - p[1]) - (q[1] - p[1]) * (px - p[0]) >= 0
+        return not inside.any()
+
+    out, left, k, tried = [], n, 0, 0
+    while left > 3:
+        if tried > left:  # no ear is left: a straight corner goes, or in rings that cross themselves any
+            for _ in range(left):
+                if turn(k) == 0:
+                    break
+                k = after[k]
+        elif not is_ear(k):
+            k, tried = after[k], tried + 1
+            continue
+        a, c = before[k], after[k]
+        out.append((points[a], points[k], points[c]))
+        after[a], before[c] = c, a
+        left, tried = left - 1, 0
+        for gone in (k, a, c):
+            if gone in rank and (gone == k or turn(gone) > 0):
+                alive[rank[gone]] = False
+        # One corner on, so that no corner becomes the middle of a fan of slivers.
+        k = after[c]
+    return [*out, (points[before[k]], points[k], points[after[k]])]
 
 
 def triangles(regions: DataFrame, region: str, ring: str) -> DataFrame:
-    """(region, ax .. cy, mid): the triangles of each region's ring of structs (x, y), and their place along the Z-curve."""
+    """(region, ax .. cy): the triangles of each region's ring of structs (x, y)."""
 
     def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -123,14 +156,7 @@ def triangles(regions: DataFrame, region: str, ring: str) -> DataFrame:
 
     kind = regions.schema[region].dataType.simpleString()
     found = regions.select(F.col(region).alias("region"), F.col(ring).alias("ring")).where("region is not null and ring is not null and size(ring) > 0").distinct()
-    cut_up = found.mapInPandas(clip, f"region {kind}, ax double, ay double, bx double, by double, cx double, cy double")
-    # A coarse Z-order of the middles, 10 bits each way.
-    gx = F.floor(((F.col("ax") + F.col("bx") + F.col("cx")) / 3 + 180) / 720 * 1023).cast("int")
-    gy = F.floor(((F.col("ay") + F.col("by") + F.col("cy")) / 3 + 90) / 180 * 1023).cast("int")
-    mid = F.lit(0)
-    for bit in range(10):
-        mid = mid.bitwiseOR(F.shiftleft(gx.bitwiseAND(1 << bit), bit)).bitwiseOR(F.shiftleft(gy.bitwiseAND(1 << bit), bit + 1))
-    return cut_up.withColumn("mid", mid)
+    return found.mapInPandas(clip, f"region {kind}, ax double, ay double, bx double, by double, cx double, cy double")
 
 
 class Hierarchy:
@@ -185,51 +211,94 @@ class Hierarchy:
         return hits["p"].to_numpy(), hits["r"].to_numpy()
 
 
+def _covered(level: Column, low: Column, high: Column, size: float) -> Column:
+    """The cells of a level, by number, that a stretch touches; two or three for its own level."""
+    width = F.lit(size) / F.pow(F.lit(2.0), level)
+    return F.sequence(F.floor(low / width), F.floor(high / width))
+
+
+def _dealt(points: DataFrame, parts: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Points (key, lat, lon) and triangles (region, ax .. cy) under common cells: (cell, share) and their columns.
+
+    A triangle goes to the level of cells whose sides are at least as long as its own, so to few cells; a point to its cell of each level that there
+    is. Cells with more points or triangles than a block are dealt into shares: each point and triangle of the cell meet in exactly one.
+    """
+    west, east = F.least("ax", "bx", "cx"), F.greatest("ax", "bx", "cx")
+    south, north = F.least("ay", "by", "cy"), F.greatest("ay", "by", "cy")
+    side = F.greatest(east - west, north - south, F.lit(WIDEST_CELL / 2**MOST_LEVELS))
+    level = F.greatest(F.lit(0), F.floor(F.log2(F.lit(WIDEST_CELL) / side))).cast("int")
+    placed = parts.select("*", level.alias("level"), west.alias("w"), east.alias("e"), south.alias("s"), north.alias("n"))
+    placed = placed.withColumn("cx_", F.explode(_covered(F.col("level"), F.col("w"), F.col("e"), WIDEST_CELL))).withColumn("cy_", F.explode(_covered(F.col("level"), F.col("s"), F.col("n"), WIDEST_CELL)))
+    placed = cut(placed.select(F.struct("level", F.col("cx_").alias("x"), F.col("cy_").alias("y")).alias("cell"), "region", "ax", "ay", "bx", "by", "cx", "cy"))
+    levels = [r["level"] for r in placed.select("cell.level").distinct().collect()]  # MOST_LEVELS + 1 at most
+    # Rings may go on beyond the 180th meridian; points are looked up there as well.
+    turned = points.select("key", "lat", F.explode(F.array("lon", F.col("lon") + 360)).alias("lon"))
+    at = lambda v: F.floor(F.col(v) * F.pow(F.lit(2.0), F.col("level")) / F.lit(WIDEST_CELL))
+    sent = turned.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).select("key", "lat", "lon", F.struct("level", at("lon").alias("x"), at("lat").alias("y")).alias("cell"))
+    crowds = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("triangles"))
+    crowds = crowds.join(sent.groupBy("cell").agg(F.count(F.lit(1)).alias("points")), "cell")
+    crowds = cut(crowds.select("cell", F.ceil(F.col("triangles") / block).cast("int").alias("t"), F.ceil(F.col("points") / (10 * block)).cast("int").alias("p")))
+    crowds = broadcast_if_small(crowds)
+    mine = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sent = sent.join(crowds, "cell").select("cell", mine("p", "key").alias("p"), all_of("t").alias("t"), "key", "lat", "lon")
+    placed = placed.join(crowds, "cell").select("cell", all_of("p").alias("p"), mine("t", "region", "ax", "ay", "bx", "by").alias("t"), "region", "ax", "ay", "bx", "by", "cx", "cy")
+    return sent, placed
+
+
 def points_in_regions(points: DataFrame, key: str, lat: str, lon: str, regions: DataFrame, region: str, ring: str, block: int = BLOCK_TRIANGLES) -> DataFrame:
     """(key, region): each point with every region whose ring contains it or passes through it, each pair once.
 
     Rings are arrays of structs (x, y) of a simple polygon, x from -180 to 540: where a ring goes beyond the 180th meridian, points on
     the other side are looked up 360 degrees on. Null keys, unknown positions and null or empty rings give nothing, repeated rows count once, a
     region with several rings counts as their union; empty tables give an empty one. Other columns, whatever their names, play no part.
+    At most so many triangles (block) are sent to the executors; more meet the points in cells, and each task builds the hierarchy of its own.
     """
     key_kind, region_kind = points.schema[key].dataType.simpleString(), regions.schema[region].dataType.simpleString()
     wanted = points.select(F.col(key).alias("key"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
     wanted = wanted.where(F.col("key").isNotNull() & known_position(F.col("lat"), F.col("lon")))
     parts = cut(triangles(regions, region, ring))
-    total = parts.count()
-    schema = f"key {key_kind}, region {region_kind}"
-    if total > block:
-        parts = cut(parts.repartitionByRange(math.ceil(1.5 * total / block), "mid", "ax", "ay").withColumn("block", F.spark_partition_id()))
-        sizes = {r["block"]: r["count"] for r in parts.groupBy("block").count().collect()}
-    else:
-        parts, sizes = parts.withColumn("block", F.lit(0)), {0: total} if total else {}
-    spark, out = points.sparkSession, None
-    # Triangles heaped on one spot make a large range; it is shared out by hash.
-    shares = [(number, k, n) for number, count in sorted(sizes.items()) for n in [max(1, count // (2 * block))] for k in range(n)]
-    for number, k, n in shares:
-        own = parts.where((F.col("block") == number) & (F.pmod(F.xxhash64("region"), F.lit(n)) == k))
-        rows = own.select("region", "ax", "ay", "bx", "by", "cx", "cy").toArrow()
+    schema, corners, spark = f"key {key_kind}, region {region_kind}", ("ax", "ay", "bx", "by", "cx", "cy"), points.sparkSession
+
+    def found(tree: Hierarchy, keys: pa.Array, y: np.ndarray, x: np.ndarray, shifts: tuple[float, ...]) -> pa.RecordBatch:
+        hits = [tree.find(x + shift, y) for shift in shifts]
+        places = np.concatenate([p for p, _ in hits])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(places)), pa.array(np.concatenate([r for _, r in hits]))], names=["key", "region"])
+
+    if small(parts, block):
+        rows = parts.select("region", *corners).toArrow()
         if not rows.num_rows:
-            continue
-        tree = Hierarchy(rows.column("region").to_numpy(), np.stack([rows.column(c).to_numpy() for c in ("ax", "ay", "bx", "by", "cx", "cy")], axis=1))
+            return spark.createDataFrame([], schema)
+        tree = Hierarchy(rows.column("region").to_numpy(), np.stack([rows.column(c).to_numpy() for c in corners], axis=1))
         sent = spark.sparkContext.broadcast(tree)
 
-        def look_up(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tree = sent.value
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, y = batch.column(2).to_numpy(), batch.column(1).to_numpy()
-                keys, found = [], []
-                for shift in (0.0, 360.0) if tree.box[2] > 180 else (0.0,):
-                    p, r = tree.find(x + shift, y)
-                    keys.append(p)
-                    found.append(r)
-                places = np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), pa.array(np.concatenate(found))], names=["key", "region"])
+                yield found(sent.value, batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy(), (0.0, 360.0) if sent.value.box[2] > 180 else (0.0,))
 
         west, south, east, north = (float(v) for v in tree.box)
         near = F.col("lat").between(south, north) & (F.col("lon").between(west, east) | F.lit(east > 180) & (F.col("lon") + 360).between(west, east))
-        hits = wanted.where(near).mapInArrow(look_up, schema)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    return out.distinct()
+        return wanted.where(near).mapInArrow(look_up, schema).distinct()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's triangles come first and become its hierarchy; then its points."""
+        held: list[pa.RecordBatch] = []
+        tree = None
+        for batch in batches:
+            is_point = batch.column(0).to_numpy(zero_copy_only=False)
+            first = int(np.searchsorted(is_point, True))
+            if first:
+                held.append(batch.slice(0, first))
+            rest = batch.slice(first)
+            if rest.num_rows and held:
+                if tree is None:
+                    rows = pa.Table.from_batches(held)
+                    tree = Hierarchy(rows.column("region").to_numpy(), np.stack([rows.column(c).to_numpy() for c in corners], axis=1))
+                yield found(tree, rest.column(1), rest.column("ay").to_numpy(), rest.column("ax").to_numpy(), (0.0,))
+
+    sent, placed = _dealt(wanted, parts.select("region", *corners), block)
+    none = lambda kind: F.lit(None).cast(kind)
+    both = sent.select("cell", "p", "t", F.lit(True).alias("point"), "key", none(region_kind).alias("region"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), *[none("double").alias(c) for c in corners[2:]])
+    both = both.unionByName(placed.select("cell", "p", "t", F.lit(False).alias("point"), none(key_kind).alias("key"), "region", *corners))
+    both = both.repartition("cell", "p", "t").sortWithinPartitions("point").select("point", "key", "region", *corners)
+    return both.mapInArrow(meet, schema).distinct()

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -68,3 +69,37 @@ def test_regions_cross_the_meridian(spark):
     assert points_in_regions(points, "verid", "lat", "lon", areas.limit(0), "id", "ring").count() == 0
     assert points_in_regions(points.limit(0), "verid", "lat", "lon", areas, "id", "ring").count() == 0
     assert near_pairs(points.limit(0), "verid", "lat", "lon", 10.0).count() == 0
+
+
+def star(rng, x, y, corners, size):
+    """A concave ring around a place."""
+    return [(x + size * r * math.cos(2 * math.pi * k / corners), y + size * r * math.sin(2 * math.pi * k / corners)) for k in range(corners) for r in [rng.uniform(0.2, 1)]]
+
+
+def odd_crossings(ring, px, py):
+    return sum((a[1] > py) != (b[1] > py) and px < (b[0] - a[0]) * (py - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) % 2 == 1
+
+
+def test_concave_rings_of_all_sizes(spark):
+    rng = random.Random(17)
+    rings = {k: star(rng, rng.uniform(-30, 30), rng.uniform(-30, 30), rng.randint(5, 60), rng.choice([0.01, 0.5, 4, 30])) for k in range(40)}
+    points = {k: (rng.uniform(-40, 40), rng.uniform(-40, 40)) for k in range(600)} | {600 + k: (ring[0][1] * 0.5 + ring[2][1] * 0.5, ring[0][0] * 0.5 + ring[2][0] * 0.5) for k, ring in rings.items()}
+    want = {(p, k) for p, (lat, lon) in points.items() for k, ring in rings.items() if odd_crossings(ring, lon, lat)}
+    areas = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in ring]) for k, ring in rings.items()], "id int, ring array<struct<x:double,y:double>>")
+    df = spark.createDataFrame([(k, lat, lon) for k, (lat, lon) in points.items()], "verid int, lat double, lon double")
+    for block in (7, 100_000):
+        assert {tuple(r) for r in points_in_regions(df, "verid", "lat", "lon", areas, "id", "ring", block=block).collect()} == want
+    assert len(want) > 100
+
+
+def test_many_corners_are_clipped_fast():
+    rng = random.Random(23)
+    for ring in (star(rng, 0, 0, 6_000, 5), [(k, 1 + k % 2) for k in range(4_000)] + [(3_999, 0), (0, 0)]):
+        began = time.perf_counter()
+        parts = ear_clip(ring)
+        assert time.perf_counter() - began < 20
+        area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+        assert len(parts) == len(ring) - 2
+        assert sum(abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) / 2 for a, b, c in parts) == pytest.approx(area)
+    # A ring that crosses itself still ends.
+    assert len(ear_clip([(0, 0), (2, 2), (2, 0), (0, 2)])) == 2
