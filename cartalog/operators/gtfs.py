@@ -50,13 +50,21 @@ def next_service(calendar: DataFrame, day: Column) -> DataFrame:
 def next_departure(stop_times: DataFrame, requests: DataFrame) -> DataFrame:
     """(request, trip_id, wait): the next trip that leaves a stop for the next one, on the day or the one after.
 
-    requests: (request, stop, next_stop, at), at in seconds of the day. An as-of join on the stops, the least wait per request.
+    requests: (request, stop, next_stop, at), at in seconds of the day. Calls and requests of a pair of stops go by once, from the end of the day
+    to its start: the earliest call passed so far is a request's next one, the day's earliest that of the day after. No call meets a request.
     """
     w = Window.partitionBy("trip_id").orderBy("stop_sequence")
     calls = stop_times.select("trip_id", F.col("stop_id").alias("stop"), "departure", F.lead("stop_id").over(w).alias("next_stop")).where("next_stop is not null")
-    wait = F.pmod(F.col("departure") - F.col("at"), F.lit(86400))
-    best = requests.join(calls, ["stop", "next_stop"]).groupBy("request").agg(F.min(F.struct(wait.alias("wait"), F.col("trip_id").alias("trip_id"))).alias("b"))
-    return best.select("request", "b.trip_id", "b.wait")
+    moment = F.struct(F.pmod("departure", F.lit(86400)).alias("second"), F.col("trip_id").alias("trip_id"))
+    both = calls.select("stop", "next_stop", moment.alias("call"), F.lit(None).cast(requests.schema["request"].dataType).alias("request"), F.pmod("departure", F.lit(86400)).alias("second"))
+    asked = requests.select("stop", "next_stop", F.lit(None).cast(both.schema["call"].dataType).alias("call"), "request", F.pmod("at", F.lit(86400)).alias("second"))
+    pair = Window.partitionBy("stop", "next_stop")
+    passed = pair.orderBy(F.desc("second"), F.col("call").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.unionByName(asked).withColumn("later", F.min("call").over(passed)).withColumn("first", F.min("call").over(pair))
+    wait = F.pmod(F.coalesce("later.second", "first.second") - F.col("second"), F.lit(86400))
+    found = seen.where("request is not null and first is not null").select("request", F.coalesce("later", "first")["trip_id"].alias("trip_id"), wait.alias("wait"))
+    # A request stated for several pairs of stops has the least wait.
+    return found.groupBy("request").agg(F.min(F.struct("wait", "trip_id")).alias("b")).select("request", "b.trip_id", "b.wait")
 
 
 def to_tags(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

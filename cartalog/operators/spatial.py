@@ -3,35 +3,45 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartalog.functions import tags
 from cartalog.functions.geo import EARTH_RADIUS, haversine, in_box, known_position, manhattan
-from cartalog.session import cut
+from cartalog.session import broadcast_if_small, cut
 
 #: Half the side of the first box around a point, in degrees, and how often it may double; metres up to which an area counts as a point's own.
 FIRST_HALF, DOUBLINGS = 0.00005, 100
 AREA_METRES = {"country": 50_000, "state": 10_000, "city": 1_000, "suburb": 500, "district": 500, "postcode": 200, "zip": 200, "street": 50, "housenumber": 20}
 
 
-#: Targets of a request that every partition of points is held against at once.
-MOST_TARGETS = 10_000
+#: Sides of cells in degrees, each a whole part of a circle, that a search for the closest goes through; the last one holds everything.
+CELLS = (0.01, 0.08, 0.5, 4.0, 30.0, 360.0)
 
 
-def _blocks(targets: DataFrame) -> list[DataFrame]:
-    """A request's targets in blocks of a bounded number, each fit to be sent to all executors."""
-    count = targets.count()
-    shares = max(1, -(-count // (MOST_TARGETS // 2))) if count > MOST_TARGETS else 1
-    return [F.broadcast(targets.where(F.pmod(F.xxhash64("target"), F.lit(shares)) == k) if shares > 1 else targets) for k in range(shares)]
+def _closest(points: DataFrame, targets: DataFrame, rank: Column, sure: Callable[[float], Column], cell: float = CELLS[0]) -> DataFrame:
+    """(target, tlat, tlon, best): the least rank among the points of each target's cell and those around it, in wider cells until it is sure.
 
-
-def _against(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows beside every target, block by block: a stated request against all rows."""
-    return reduce(DataFrame.unionByName, [rows.join(block) for block in _blocks(targets)])
+    points: (lat, lon, what rank needs). Each round only takes the targets still open, and joins cells, so few rows meet where points are many,
+    and few targets are left where they are few. sure tells of the side of a cell whether no point beyond the cells can rank less.
+    """
+    located, open_, done = points.where(known_position(F.col("lat"), F.col("lon"))), targets.select("target", "tlat", "tlon").where("tlat is not null and tlon is not null"), None
+    for side in [c for c in CELLS if c >= cell]:
+        around, per_row = F.array(*[F.lit(k) for k in (-1, 0, 1)]), round(360 / side)
+        row = lambda lat: F.floor(F.col(lat) / side) if per_row > 1 else F.lit(0).cast("bigint")  # noqa: B023, E731
+        column = lambda lon: F.floor((F.col(lon) + 180) / side)  # noqa: B023, E731
+        cells = located.withColumn("_y", row("lat")).withColumn("_x", F.pmod(column("lon"), F.lit(per_row)))
+        spread = open_.withColumn("_y", F.explode(F.transform(around, lambda k: row("tlat") + k) if per_row > 1 else F.array(row("tlat"))))  # noqa: B023
+        spread = spread.withColumn("_x", F.explode(F.array_distinct(F.transform(around, lambda k: F.pmod(column("tlon") + k, F.lit(per_row))))))  # noqa: B023
+        best = cells.join(broadcast_if_small(spread), ["_y", "_x"]).groupBy("target", "tlat", "tlon").agg(F.min(rank).alias("best"))
+        found = cut(best.where(sure(side) if per_row > 1 else F.lit(True)))
+        done = found if done is None else done.unionByName(found)
+        open_ = cut(open_.join(found.select("target"), "target", "left_anti"))
+        if not open_.limit(1).count():
+            break
+    return done
 
 
 def in_bounding_box(points: DataFrame, hi_lat: float, hi_lon: float, lo_lat: float, lo_lon: float) -> DataFrame:
@@ -64,46 +74,28 @@ def boxes_join(points: DataFrame, boxes: DataFrame, cell: float = 0.1) -> DataFr
 def nearest_expanding(points: DataFrame, targets: DataFrame, key: str = "verid") -> DataFrame:
     """(target, key, lat, lon): as boxes double around each target, the closest of the first that is not empty, by degrees of latitude and longitude.
 
-    targets: (target, tlat, tlon), a request; blocks of it are broadcast, and a pass keeps the best point per target and partition.
+    targets: (target, tlat, tlon), any number of them; those whose place is unknown have no row, nor has any where there are no points.
     """
     far = F.greatest(F.abs(F.col("lat") - F.col("tlat")), F.abs(F.col("lon") - F.col("tlon")))
     step = F.when(far <= FIRST_HALF, 0).otherwise(F.ceil(F.log2(far / FIRST_HALF)))
     rank = F.struct(step.alias("step"), manhattan(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")).alias("far"), F.col(key).alias("key"), F.col("lat").alias("lat"), F.col("lon").alias("lon"))
-    best = _against(points, targets).where(step < DOUBLINGS).groupBy("target").agg(F.min(rank).alias("best"))
+    best = _closest(points, targets, rank, lambda side: F.lit(FIRST_HALF) * F.pow(F.lit(2.0), F.col("best.step")) <= side).where(F.col("best.step") < DOUBLINGS)
     return best.select("target", F.col("best.key").alias(key), "best.lat", "best.lon")
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str = "verid") -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, key: str = "verid", cell: float = CELLS[0]) -> DataFrame:
     """(target, key, metres): the closest point on the sphere, the smallest key of several; targets as for nearest_expanding()."""
     rank = F.struct(haversine(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")).alias("metres"), F.col(key).alias("key"))
-    best = _against(points, targets).groupBy("target").agg(F.min(rank).alias("best"))
-    return best.select("target", F.col("best.key").alias(key), "best.metres")
 
+    def sure(side: float) -> Column:
+        # A circle of this size is within the cells looked at; they are narrow far north and south.
+        narrow = F.cos(F.radians(F.least(F.lit(89.9), F.abs("tlat") + 2 * side)))
+        return F.col("best.metres") <= narrow * (math.radians(side) * EARTH_RADIUS)
 
-def nearest_join(points: DataFrame, targets: DataFrame, key: str = "verid", cell: float = 0.01, rings: int = 30) -> DataFrame:
-    """nearest() for any number of targets: cells around each target, ring by ring, until none beyond can hold a closer point.
+    return _closest(points, targets, rank, sure, cell).select("target", F.col("best.key").alias(key), "best.metres")
 
-    Each round only takes the targets still open. What is open after the last ring, in empty regions, is settled by nearest() in blocks.
-    """
-    per_row = round(360 / cell)
-    cells = cut(points.where(known_position(F.col("lat"), F.col("lon"))).select(F.col(key).alias("key"), "lat", "lon", F.floor(F.col("lat") / cell).alias("y"), F.pmod(F.floor((F.col("lon") + 180) / cell), F.lit(per_row)).alias("x")))
-    open_, done, ring = targets, None, 1
-    while ring <= rings:
-        around = F.sequence(F.lit(-ring), F.lit(ring))
-        spread = open_.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around))
-        spread = spread.withColumn("y", F.floor(F.col("tlat") / cell) + F.col("dy")).withColumn("x", F.pmod(F.floor((F.col("tlon") + 180) / cell) + F.col("dx"), F.lit(per_row)))
-        rank = F.struct(haversine(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")).alias("metres"), F.col("key").alias("key"))
-        best = spread.join(cells, ["y", "x"]).groupBy("target").agg(F.min(rank).alias("best"))
-        # A circle of this size is within the cells looked at; they are narrow far north and south.
-        narrow = F.cos(F.radians(F.least(F.lit(89.9), F.abs("tlat") + (ring + 1) * cell)))
-        sure = open_.join(best, "target").where(F.col("best.metres") <= narrow * (ring * math.radians(cell) * EARTH_RADIUS))
-        found = cut(sure.select("target", F.col("best.key").alias(key), "best.metres"))
-        done = found if done is None else done.unionByName(found)
-        open_ = cut(open_.join(found.select("target"), "target", "left_anti"))
-        if not open_.limit(1).count():
-            return done
-        ring *= 3
-    return done.unionByName(nearest(points, open_, key))
+
+nearest_join = nearest
 
 
 def reverse_geocode(tags_table: DataFrame, places: DataFrame, targets: DataFrame, metres: Mapping[str, float] = AREA_METRES) -> DataFrame:
@@ -115,8 +107,15 @@ def reverse_geocode(tags_table: DataFrame, places: DataFrame, targets: DataFrame
     have = tags_table.where(tags.is_address_decodable(F.col("key"))).select("objectid", area.alias("area"), "value").join(places, "objectid")
     far = haversine(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon"))
     most = F.create_map(*[F.lit(x) for pair in metres.items() for x in (pair[0], float(pair[1]))])
+    # A box that holds the widest circle around each target; near a pole it goes all round.
+    high = math.degrees(max(metres.values()) / EARTH_RADIUS) * (1 + 1e-9)
+    wide = F.lit(high) / F.cos(F.radians(F.abs("tlat") + high))
+    north, south = F.least(F.lit(90.0), F.col("tlat") + high), F.greatest(F.lit(-90.0), F.col("tlat") - high)
+    whole = (F.abs("tlat") + high >= 89.9) | (wide >= 179)
+    west, east = F.when(whole, -180.0).otherwise(F.pmod(F.col("tlon") - wide + 180, F.lit(360.0)) - 180), F.when(whole, 180.0).otherwise(F.pmod(F.col("tlon") + wide + 180, F.lit(360.0)) - 180)
+    boxes = targets.select("target", "tlat", "tlon", north.alias("hi_lat"), west.alias("hi_lon"), south.alias("lo_lat"), east.alias("lo_lon")).where("tlat is not null and tlon is not null")
     rank = F.struct(far.alias("metres"), F.col("objectid").alias("objectid"), F.col("value").alias("value"))
-    best = _against(have, targets).where(far <= most[F.col("area")]).groupBy("target", "area").agg(F.min(rank).alias("best"))
+    best = boxes_join(have, boxes, 1.0).where(far <= most[F.col("area")]).groupBy("target", "area").agg(F.min(rank).alias("best"))
     return best.select("target", "area", F.col("best.value").alias("value"))
 
 

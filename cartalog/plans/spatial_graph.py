@@ -24,12 +24,12 @@ def register(name: str, sql: str | None, plan: relational.Plan) -> None:
 
 
 c = F.col
-_TARGETS = ((1, 45.2, 6.4), (2, 45.9001, 6.95), (3, 45.5, 6.5), (4, 45.00001, 6.00001), (5, 46.0, 7.0))
-_TARGET_SQL = "t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}e0, {b}e0)" for k, a, b in _TARGETS) + ") v(target, tlat, tlon))"
+#: What is searched for: a spot beside every point whose id can be divided by 50.
+_TARGET_SQL = "t AS (SELECT verid AS target, lat + 0.0007e0 AS tlat, lon - 0.0004e0 AS tlon FROM vx WHERE verid % 50 = 0)"
 
 
 def _targets(t: Callable[[str], DataFrame]) -> DataFrame:
-    return t("vx").sparkSession.createDataFrame(list(_TARGETS), "target int, tlat double, tlon double")
+    return t("vx").where("verid % 50 = 0").selectExpr("verid AS target", "lat + 0.0007e0 AS tlat", "lon - 0.0004e0 AS tlon")
 
 
 # boxes and neighbours
@@ -110,7 +110,7 @@ register("q_polyline_roundtrip", "SELECT wayid, count(*) AS n, TRUE AS close FRO
 register("q_polyline", None, lambda t: _lines(t).select("wayid", codec.to_polyline(c("line")).alias("code")))
 register("q_wkb_roundtrip", "SELECT wayid, count(*) AS n, TRUE AS same FROM way GROUP BY wayid", lambda t: _lines(t).withColumn("back", codec.from_wkb(codec.to_wkb(c("line"), 2))).select("wayid", F.size("back").cast("bigint").alias("n"), (c("back") == c("line")).alias("same")))
 register("q_stored_geometry", "SELECT wayid, CASE WHEN count(*) = 1 THEN 2 ELSE 4 END + CASE WHEN wayid % 2 = 0 THEN 1 ELSE 0 END AS flags, count(*) AS n FROM way GROUP BY wayid", lambda t: _lines(t).select("wayid", F.when(c("wayid") % 2 == 0, codec.to_stored(c("line"), True)).otherwise(codec.to_stored(c("line"), False)).alias("b")).select("wayid", F.conv(F.hex(F.substring("b", 1, 1)), 16, 10).cast("int").alias("flags"), F.size(codec.from_stored(c("b"))).cast("bigint").alias("n")))
-register("q_split_line", "WITH n AS (SELECT l_partkey % 7 AS id, count(*) AS n FROM lineitem WHERE l_orderkey < 200 GROUP BY 1) SELECT id, CASE WHEN n > 40 THEN CAST(ceil(n / 20e0) AS INT) ELSE 1 END AS pieces FROM n", lambda t: t("lineitem").where("l_orderkey < 200").groupBy((c("l_partkey") % 7).alias("id")).agg(F.collect_list("l_orderkey").alias("line")).select("id", F.size(tiles.split_line(c("line"))).alias("pieces")))
+register("q_split_line", "WITH n AS (SELECT l_suppkey AS id, count(*) AS n FROM lineitem GROUP BY 1) SELECT id, CASE WHEN n > 40 THEN CAST(ceil(n / 20e0) AS INT) ELSE 1 END AS pieces FROM n", lambda t: t("lineitem").groupBy(c("l_suppkey").alias("id")).agg(F.collect_list("l_orderkey").alias("line")).select("id", F.size(tiles.split_line(c("line"))).alias("pieces")))
 register(
     "q_tile_features",
     f"WITH b AS (SELECT wayid, min(6378137e0 * radians(lon)) AS xmin, max(6378137e0 * radians(lon)) AS xmax, min(6378137e0 * ln(tan(pi() / 4 + radians(lat) / 2))) AS ymin, max(6378137e0 * ln(tan(pi() / 4 + radians(lat) / 2))) AS ymax FROM way JOIN vx ON vx.verid = way.verid GROUP BY wayid), e AS (SELECT 2 * pi() * 6378137e0 AS whole) SELECT wayid FROM b, e WHERE xmax >= 530 * whole / 1024 - whole / 2 AND xmin <= 531 * whole / 1024 - whole / 2 AND ymax >= whole / 2 - 366 * whole / 1024 AND ymin <= whole / 2 - 365 * whole / 1024",
@@ -194,8 +194,8 @@ register(
 )
 register(
     "q_next_departure",
-    f"WITH c AS ({_CALLS}), r AS (SELECT DISTINCT trip_id * 1000 + pos AS request, stop, next_stop, CAST((trip_id * 37) % 86400 AS INT) AS at_s FROM c WHERE next_stop IS NOT NULL AND trip_id % 20 = 0) SELECT r.request, c.trip_id, ((c.departure - r.at_s) % 86400 + 86400) % 86400 AS wait FROM r JOIN c ON c.stop = r.stop AND c.next_stop = r.next_stop QUALIFY row_number() OVER (PARTITION BY r.request ORDER BY ((c.departure - r.at_s) % 86400 + 86400) % 86400, c.trip_id) = 1",
-    lambda t: gtfs.next_departure(t("stop_times"), gtfs.stop_edges(t("stop_times")).where("trip_id % 20 = 0").selectExpr("trip_id * 1000 + pos AS request", "stop", "next_stop", "CAST((trip_id * 37) % 86400 AS INT) AS at")),
+    f"WITH c AS ({_CALLS}), r AS (SELECT DISTINCT trip_id * 1000 + pos AS request, stop, next_stop, CAST((trip_id * 37) % 86400 AS INT) AS at_s FROM c WHERE next_stop IS NOT NULL) SELECT r.request, c.trip_id, ((c.departure - r.at_s) % 86400 + 86400) % 86400 AS wait FROM r JOIN c ON c.stop = r.stop AND c.next_stop = r.next_stop QUALIFY row_number() OVER (PARTITION BY r.request ORDER BY ((c.departure - r.at_s) % 86400 + 86400) % 86400, c.trip_id) = 1",
+    lambda t: gtfs.next_departure(t("stop_times"), gtfs.stop_edges(t("stop_times")).selectExpr("trip_id * 1000 + pos AS request", "stop", "next_stop", "CAST((trip_id * 37) % 86400 AS INT) AS at")),
 )
 register("q_gtfs_eav", "SELECT route_id AS objectid, tag, value FROM (SELECT route_id, unnest(['route_short_name', 'route_long_name', 'agency_id', 'route_type']) AS tag, unnest([route_short_name, route_long_name, CAST(agency_id AS VARCHAR), route_type]) AS value FROM rt) WHERE value IS NOT NULL AND value <> ''", lambda t: gtfs.to_tags(t("rt"), "route_id", ["route_short_name", "route_long_name", "agency_id", "route_type"]))
 register("q_gtfs_name_words", r"WITH p AS (SELECT route_id, list_filter(list_transform(string_split_regex(route_long_name, '\s+'), lambda x: regexp_replace(x, '[[:punct:]]', '', 'g')), lambda x: x <> '') AS parts FROM rt) SELECT route_id AS objectid, 'name' || CAST(k - 1 AS VARCHAR) AS tag, parts[k] AS value FROM p, range(1, 40) r(k) WHERE len(parts) > 1 AND k <= len(parts)", lambda t: gtfs.name_words(t("rt"), "route_id", "route_long_name"))

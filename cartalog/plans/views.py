@@ -28,8 +28,8 @@ VIEWS = {
     "hop": "SELECT w.wayid, w.pos, w.verid AS startid, v.lat, v.lon, LEAD(w.verid) OVER (PARTITION BY w.wayid ORDER BY w.pos) AS endid, LEAD(v.lat) OVER (PARTITION BY w.wayid ORDER BY w.pos) AS nlat, LEAD(v.lon) OVER (PARTITION BY w.wayid ORDER BY w.pos) AS nlon FROM way w JOIN vx v ON v.verid = w.verid",
     "edge": f"SELECT startid, endid, CAST(floor({HAVERSINE.format(a='', b='n')}) AS INT) AS cost, min(wayid) AS origid FROM hop WHERE endid IS NOT NULL AND startid <> endid GROUP BY startid, endid, lat, lon, nlat, nlon",
     "highway": "SELECT DISTINCT l_orderkey AS wayid, CASE CAST(l_orderkey % 16 AS INT) WHEN 0 THEN 'motorway' WHEN 1 THEN 'motorway_link' WHEN 2 THEN 'trunk' WHEN 3 THEN 'primary' WHEN 4 THEN 'secondary' WHEN 5 THEN 'tertiary' WHEN 6 THEN 'residential' WHEN 7 THEN 'unclassified' WHEN 8 THEN 'living_street' WHEN 9 THEN 'road' WHEN 10 THEN 'footway' WHEN 11 THEN 'construction' WHEN 12 THEN 'cycleway' WHEN 13 THEN 'trunk_link' WHEN 14 THEN 'service' END AS highway, CASE CAST(l_orderkey % 7 AS INT) WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN '-1' WHEN 3 THEN 'reverse' END AS oneway, CASE CAST(l_orderkey % 5 AS INT) WHEN 0 THEN 'no' WHEN 1 THEN 'permissive' WHEN 2 THEN 'private' END AS access, CASE CAST(l_orderkey % 11 AS INT) WHEN 0 THEN 'roundabout' END AS junction FROM lineitem",
-    "restriction": "SELECT DISTINCT a.wayid AS edgefrom, b.wayid AS edgeto, a.verid AS vervia, CASE WHEN (a.wayid + b.wayid) % 5 = 0 THEN 'no_u_turn' ELSE 'only_straight_on' END AS type FROM way a JOIN way b ON a.verid = b.verid AND a.wayid <> b.wayid WHERE a.verid % 50 = 7 AND ((a.wayid + b.wayid) % 5 = 0 OR (a.wayid + b.wayid) % 11 = 0)",
-    "half": "SELECT startid AS verid, endid AS node, wayid, CAST(pos + 1 AS INT) AS cost, 'out' AS side FROM hop WHERE endid IS NOT NULL AND startid % 50 = 7 UNION ALL SELECT endid, startid, wayid, CAST(pos + 1 AS INT), 'in' FROM hop WHERE endid IS NOT NULL AND endid % 50 = 7",
+    "restriction": "SELECT DISTINCT a.wayid AS edgefrom, b.wayid AS edgeto, a.verid AS vervia, CASE WHEN (a.wayid + b.wayid) % 5 = 0 THEN 'no_u_turn' ELSE 'only_straight_on' END AS type FROM way a JOIN way b ON a.verid = b.verid AND a.wayid <> b.wayid WHERE ((a.wayid + b.wayid) % 5 = 0 OR (a.wayid + b.wayid) % 11 = 0)",
+    "half": "SELECT startid AS verid, endid AS node, wayid, CAST(pos + 1 AS INT) AS cost, 'out' AS side FROM hop WHERE endid IS NOT NULL UNION ALL SELECT endid, startid, wayid, CAST(pos + 1 AS INT), 'in' FROM hop WHERE endid IS NOT NULL",
     # known points and tags of the map file
     "pt": "SELECT DISTINCT verid, lat, lon FROM vertex WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180",
     "osm": "SELECT DISTINCT objectid, lower(trim(key)) AS key, value FROM osm_tags WHERE value IS NOT NULL AND key IS NOT NULL AND objectid IS NOT NULL",

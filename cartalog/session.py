@@ -54,11 +54,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it from there: lineage ends, lost executors do no harm.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a folder of this machine is taken.
+    The folder is the session's ``spark.checkpoint.dir``. Only a session on this machine, as in tests, may leave it unset and gets a local one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cartalog-checkpoint-"))
     return df.checkpoint(eager=True)
 
