@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -29,12 +30,18 @@ LOOK_ALIKE = (
     ("Latin extensions", "ɡɑıƖǃ", "gail!"),
     ("Armenian", "օսհոզ", "ouhnq"),
     ("Cherokee", "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᏔᏃ", "ABCDEGHJKLMPRSTVWZ"),
+    ("Lisu", "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    ("Coptic", "ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲥ", "ABEHIKMNOPCTXoc"),
     ("signs", "‐‑⁃－﹣ʼ‒−", "-----’––"),
 )
+#: Letters whose small capital looks like their small letter.
+SAME_SMALL = "cosvwxz"
 #: Characters without width that Unicode does not list as format characters.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
 #: Decompositions that change neither look nor meaning; raised, circled and styled signs are none of them.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>")
+#: Shares that the records of one string are dealt into where pairs are made.
+SALTS = 8
 #: Printable ASCII, composed Latin letters without a look-alike, and the dashes and quotes of running text: never changed, alone or together.
 PLAIN = "[ -~À-İĲ-ſ–—’“”„«»·]"
 
@@ -56,9 +63,23 @@ def _spread(ch: str) -> str:
     return "".join(_spread(chr(int(p, 16))) for p in parts)
 
 
+def _like_latin() -> dict[str, str]:
+    """Look-alikes by their Unicode names: numerals of one letter, and small capitals of letters that only differ in size."""
+    alike = {}
+    for code in (*range(0x1D00, 0x1D80), *range(0x2160, 0x2180), *range(0xA730, 0xA7FF)):
+        ch = chr(code)
+        name = unicodedata.name(ch, "")
+        if "ROMAN NUMERAL" in name and len(unicodedata.normalize("NFKC", ch)) == 1:
+            alike[ch] = unicodedata.normalize("NFKC", ch)
+        elif name.startswith("LATIN LETTER SMALL CAPITAL ") and name[27:].lower() in tuple(SAME_SMALL):
+            alike[ch] = name[27:].lower()
+    return alike
+
+
+@cache
 def mappings() -> pa.Table:
     """(ch, parts): what each character that is not itself comes apart into, look-alikes included; parts as structs of place, character, class."""
-    alike = {a: b for _, odd, plain in LOOK_ALIKE for a, b in zip(odd, plain, strict=True)}
+    alike = _like_latin() | {a: b for _, odd, plain in LOOK_ALIKE for a, b in zip(odd, plain, strict=True)}
     chars, parts = [], []
     for code in range(sys.maxunicode + 1):
         if 0xD800 <= code <= 0xDFFF:
@@ -122,6 +143,8 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     strings = forms.join(several, "form")
     pairs = strings.select("form", F.col("text").alias("text_a")).join(strings.select("form", F.col("text").alias("text_b")), "form").where("text_a < text_b")
     left = rows.select(F.col("k").alias("ka"), F.col("text").alias("text_a"))
-    right = rows.select(F.col("k").alias("kb"), F.col("text").alias("text_b"))
-    met = pairs.select("text_a", "text_b").join(left, "text_a").join(right, "text_b").where("ka <> kb")
+    # The records of one string are dealt into shares, so that those of a frequent one are not one task's.
+    right = rows.select(F.col("k").alias("kb"), F.col("text").alias("text_b"), F.pmod(F.xxhash64("k"), F.lit(SALTS)).alias("share"))
+    shares = F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(SALTS)])).alias("share")
+    met = pairs.select("text_a", "text_b").join(left, "text_a").select("ka", "text_b", shares).join(right, ["text_b", "share"]).where("ka <> kb")
     return met.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()

@@ -7,9 +7,13 @@ SAME = [
     ["Kläbé", "Kläbé", "Кlӓbé".replace("К", "K"), "K̈".replace("K̈", "K") + "lӓbé"],
     ["ậ", "ậ", "ậ"],
     ["саботазиго", "саботазигo", "сабо⁠тазиго"],
+    ["Bahn", "ꓐahn", "Вahn"],
+    ["Linie", "Ⅼinie", "ꓡinie"],
+    ["linie", "ⅼinie"],
+    ["ort", "ᴏrt", "ⲟrt"],
     ["neu-x", "neu‑x", "neu－x", "neu‐x"],
 ]
-DIFFERENT = ["Line 8", "Line ⁸", "line 8", "Lïne 8", "Line  8", "Lin e8", "и", "й", "x–y", "x-y"]
+DIFFERENT = ["Line 8", "Line ⁸", "line 8", "Lïne 8", "Line  8", "Lin e8", "и", "й", "x–y", "x-y", "ʀʙ", "rb", "Linien²", "Linien2"]
 
 
 def test_forms(spark):
