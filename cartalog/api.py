@@ -22,7 +22,7 @@ class RequestError(ValueError):
 
 @dataclass
 class MapFile:
-    """The tables of one map: osm (objectid, key, value), places (objectid, lat, lon), docs (docid, tokens, curve), edge, vertex, osm_id, info."""
+    """The tables of one map: osm (objectid, key, value), places (objectid, lat, lon), docs (docid, tokens, curve), edge, vertex, osm_id, info, arrivals (verid, arrival)."""
 
     osm: DataFrame
     places: DataFrame
@@ -31,6 +31,7 @@ class MapFile:
     vertex: DataFrame | None = None
     osm_id: DataFrame | None = None
     info: DataFrame | None = None
+    arrivals: DataFrame | None = None
 
 
 def parse_points(text: str) -> list[tuple[float, float]]:
@@ -132,8 +133,13 @@ class Service:
         targets = self.spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "target int, tlat double, tlon double")
         snapped = spatial.nearest_expanding(m.vertex, targets).select(F.lit(0).alias("request"), F.col("target").alias("pos"), "verid")
         pairs = graph.waypoint_pairs(snapped).select(F.col("pair.pos").alias("pair"), "src", "dst")
+        if m.arrivals is not None:  # a path ends at a restricted point by a point of its own
+            ends = pairs.join(m.arrivals.withColumnRenamed("verid", "dst"), "dst", "left")
+            pairs = ends.select("pair", "src", F.coalesce("arrival", "dst").alias("dst"))
         paths = graph.routes(edges, pairs, "cost" if metric == "distance" else "timecost")
         ways = graph.path_ways(paths, edges).groupBy("pair").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "way"))), lambda w: w["way"]).alias("ways"))
+        if "via" in edges.columns:
+            paths = graph.expanded(paths, edges)
         legs = paths.join(graph.path_points(paths, m.vertex), "pair", "left").join(ways, "pair", "left")
         return answer(legs.select(F.col("pair").alias("leg"), F.col("dist").alias("length"), "path", "line", "ways"))
 
@@ -164,7 +170,10 @@ def map_info_rows(places: DataFrame, features: Sequence[str] = ("search", "routi
 
 
 def ingest(osm: DataFrame, config: dict, pedestrian: bool = False) -> dict[str, DataFrame]:
-    """The tables of a map file from the rows of an extract: vertex, edge, turn restrictions, tags, documents, places, ids and groups."""
+    """The tables of a map file from the rows of an extract: vertex, edge, turn restrictions, tags, documents, places, ids and groups.
+
+    Edges obey the restrictions (graph.restricted_graph()): arrivals tells by which point a path ends at a restricted one.
+    """
     from cartalog.functions import tags as t
     from cartalog.sources import osm as source
 
@@ -172,20 +181,23 @@ def ingest(osm: DataFrame, config: dict, pedestrian: bool = False) -> dict[str,
     way_tags = pairs.where("kind = 'way'").groupBy("objectid").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("highway", "oneway", "junction", "construction", "motorcycle", *t.ACCESS_KEYS)])
     roads = way_tags.where(t.is_footway(F.col("highway")) if pedestrian else t.is_road({k: F.col(k) for k in ("highway", "construction", "motorcycle", *t.ACCESS_KEYS)})).withColumnRenamed("objectid", "wayid")
     way = refs.join(roads.select("wayid"), "wayid", "left_semi").join(nodes.select("verid"), "verid", "left_semi")
-    ends = graph.endpoints(way)
+    ends = graph.repaired_ends(way, nodes, graph.endpoints(way))
     one = F.lit(False) if pedestrian else t.one_way(F.col("oneway"), F.col("highway"), F.col("junction"))
     speed = F.lit(t.WALKING_SPEED) if pedestrian else t.speed(F.col("highway"))
-    cut = graph.segments(way, nodes, ends).join(roads.select("wayid", one.alias("oneway"), (F.lit(False) if pedestrian else t.is_reversed(F.col("oneway"))).alias("reversed"), speed.alias("speed")), "wayid")
-    turned = cut.select(F.when(F.col("reversed"), F.col("endid")).otherwise(F.col("startid")).alias("startid"), F.when(F.col("reversed"), F.col("startid")).otherwise(F.col("endid")).alias("endid"), "cost", graph.travel_time(F.col("cost"), F.col("speed")).alias("timecost"), F.when(F.col("oneway"), graph.ONE_WAY).otherwise(0).alias("type"), F.col("wayid").alias("origid"), "oneway")
-    edge = graph.dedupe_edges(graph.both_directions(turned).drop("oneway"))
+    cut = graph.segments(way, nodes, ends, hops=True).join(roads.select("wayid", one.alias("oneway"), (F.lit(False) if pedestrian else t.is_reversed(F.col("oneway"))).alias("reversed"), speed.alias("speed")), "wayid")
+    back = lambda a, b: F.when(F.col("reversed"), F.col(b)).otherwise(F.col(a)).alias(a)
+    both = [back(a, b) for x, y in (("startid", "endid"), ("second", "before"), ("first", "last")) for a, b in ((x, y), (y, x))]
+    turned = cut.select("wayid", "segment", *both, "cost", "hops", graph.travel_time(F.col("cost"), F.col("speed")).alias("timecost"), F.when(F.col("oneway"), graph.ONE_WAY).otherwise(0).alias("type"), "oneway")
     members = source.relation_members(osm)
     kinds = pairs.where("kind = 'relation'").groupBy(F.col("objectid").alias("relid")).agg(F.max(F.when(F.col("key") == "type", F.col("value"))).alias("of"), F.max(F.when(F.col("key") == "restriction", F.col("value"))).alias("turn"))
     turns = members.drop("type").join(kinds.where("of = 'restriction'").select("relid", F.col("turn").alias("type")), "relid")
+    restrictions = graph.turn_restrictions(turns, nodes.join(ends, "verid", "left_semi"))
+    edge, split, arrivals = graph.restricted_graph(turned, restrictions, nodes.select("verid", "lat", "lon"))
     objects = pairs.where("kind in ('node', 'way')").select(F.when(F.col("kind") == "way", F.col("objectid") * 2 + 1).otherwise(F.col("objectid") * 2).alias("objectid"), "kind", F.col("objectid").alias("osm"), "key", "value")
     free, fixed = search.store_tags(objects.select("objectid", "key", "value"), config)
     places = nodes.select((F.col("verid") * 2).alias("objectid"), "lat", "lon").unionByName(source.way_places(osm).select((F.col("wayid") * 2 + 1).alias("objectid"), "lat", "lon"))
     return {
-        "vertex": nodes.join(ends, "verid", "left_semi"), "edge": edge, "turn_restrictions": graph.turn_restrictions(turns, nodes), "osm": free, "osm_tag_fixed": fixed,
+        "vertex": nodes.join(ends, "verid", "left_semi").select("verid", "lat", "lon").unionByName(split), "edge": edge, "arrivals": arrivals, "turn_restrictions": restrictions, "osm": free, "osm_tag_fixed": fixed,
         "osm_fulltext": search.search_documents(objects.select("objectid", "key", "value"), places, config), "objectkdtree": places,
         "osm_id": objects.select(F.col("objectid").alias("internal_id"), F.concat(F.substr("kind", F.lit(1), F.lit(1)), F.col("osm").cast("string")).alias("osm_id")).distinct(),
         "osm_rel": members.select(F.col("relid").alias("groupid"), F.when(F.col("type") == "way", F.col("ref") * 2 + 1).otherwise(F.col("ref") * 2).alias("objectid"), F.col("pos").alias("objectorder")),

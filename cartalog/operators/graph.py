@@ -41,10 +41,12 @@ def known_stretches(way: DataFrame, vertex: DataFrame) -> DataFrame:
     return near.where((F.col("_before") == F.col("pos") - 1) | (F.col("_after") == F.col("pos") + 1)).drop("_before", "_after")
 
 
-def segments(way: DataFrame, vertex: DataFrame, ends: DataFrame) -> DataFrame:
+def segments(way: DataFrame, vertex: DataFrame, ends: DataFrame, hops: bool = False) -> DataFrame:
     """(wayid, segment, startid, endid, cost, hops): ways cut at endpoints, cost the sum of whole metres per hop.
 
     way: (wayid, pos, verid). Running sums within a way number the segments; a point between two is the end of one and the start of the next.
+    With hops, loops are kept, and columns tell the first and last hop: second and before, the points next to the ends, first and last, the
+    metres, and endpos, where on the way the segment ends.
     """
     placed = way.join(vertex, "verid").join(ends.select("verid", F.lit(1).alias("is_end")), "verid", "left")
     w = Window.partitionBy("wayid").orderBy("pos")
@@ -54,8 +56,22 @@ def segments(way: DataFrame, vertex: DataFrame, ends: DataFrame) -> DataFrame:
     ).withColumn("segment", F.sum("is_end").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     hop = hop.where((F.col("npos") == F.col("pos") + 1) & (F.col("verid") != F.col("next")))
     metres = F.floor(haversine(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon")))
-    cut_up = hop.groupBy("wayid", "segment").agg(F.min_by("verid", "pos").alias("startid"), F.max_by("next", "pos").alias("endid"), F.sum(metres).cast("int").alias("cost"), F.count(F.lit(1)).cast("int").alias("hops"))
-    return cut_up.where("startid <> endid")
+    cut_up = hop.groupBy("wayid", "segment").agg(F.min_by("verid", "pos").alias("startid"), F.max_by("next", "pos").alias("endid"), F.sum(metres).cast("int").alias("cost"), F.count(F.lit(1)).cast("int").alias("hops"),
+        *([F.min_by("next", "pos").alias("second"), F.max_by("verid", "pos").alias("before"), F.min_by(metres, F.col("pos")).cast("int").alias("first"), F.max_by(metres, F.col("pos")).cast("int").alias("last"), F.max("npos").alias("endpos")] if hops else []),
+    )
+    return cut_up if hops else cut_up.where("startid <> endid")
+
+
+def repaired_ends(way: DataFrame, vertex: DataFrame, ends: DataFrame) -> DataFrame:
+    """(verid): endpoints, and points that keep two segments from having the same ends: the one before the end of every segment whose pair of ends
+    comes more than once, or whose end the way has passed before, if the segment has a point between its ends; of a loop the one after its start too."""
+    cut_up = cut(segments(way, vertex, ends, hops=True))
+    pair = [F.least("startid", "endid").alias("a"), F.greatest("startid", "endid").alias("b")]
+    passed = way.groupBy("wayid", F.col("verid").alias("endid")).agg(F.min("pos").alias("seen"))
+    longer = cut_up.where("hops >= 2").select("*", *pair).join(repeated_pairs(cut_up), ["a", "b"], "left").join(passed, ["wayid", "endid"])
+    extra = longer.where(F.col("n").isNotNull() | (F.col("seen") < F.col("endpos")))
+    extra = extra.select(F.explode(F.when((F.col("startid") == F.col("endid")) & (F.col("hops") >= 3), F.array("second", "before")).otherwise(F.array("before"))).alias("verid"))
+    return ends.unionByName(extra).distinct()
 
 
 def travel_time(cost: Column, metres_per_second: Column) -> Column:
@@ -92,17 +108,73 @@ def turn_restrictions(members: DataFrame, vertex: DataFrame) -> DataFrame:
 def turn_shortcuts(half_in: DataFrame, half_out: DataFrame, restrictions: DataFrame) -> DataFrame:
     """Edges over restricted points: each way in with each way out that no restriction forbids and every "only" allows.
 
-    half_in, half_out: (verid, node, wayid, cost, type), node being the other end of the half edge.
+    half_in, half_out: (verid, node, wayid, cost, type), node being the other end of the half edge; timecost is added up too where both have it.
     """
     kind = F.col("type")
+    sums = ["cost"] + ["timecost"] * ("timecost" in half_in.columns and "timecost" in half_out.columns)
     no = restrictions.where(tags.is_no_turn(kind)).select(F.col("edgefrom").alias("fw"), F.col("edgeto").alias("tw"), F.col("vervia").alias("verid")).distinct()
     only = restrictions.where(tags.is_only_turn(kind)).groupBy(F.col("edgefrom").alias("fw"), F.col("vervia").alias("verid")).agg(F.collect_set("edgeto").alias("allowed"))
-    a = half_in.select("verid", F.col("node").alias("startid"), F.col("wayid").alias("fw"), F.col("cost").alias("c1"), F.col("type").alias("t1"))
-    b = half_out.select("verid", F.col("node").alias("endid"), F.col("wayid").alias("tw"), F.col("cost").alias("c2"), F.col("type").alias("t2"))
+    a = half_in.select("verid", F.col("node").alias("startid"), F.col("wayid").alias("fw"), F.col("type").alias("t1"), *[F.col(c).alias(f"{c}_in") for c in sums])
+    b = half_out.select("verid", F.col("node").alias("endid"), F.col("wayid").alias("tw"), F.col("type").alias("t2"), *[F.col(c).alias(f"{c}_out") for c in sums])
     pairs = a.join(b, "verid").where("startid <> endid").join(no, ["fw", "tw", "verid"], "left_anti").join(only, ["fw", "verid"], "left")
     pairs = pairs.where(F.col("allowed").isNull() | F.array_contains("allowed", F.col("tw")))
     bits = F.col("t1").bitwiseOR(F.col("t2")).bitwiseOR(TURN_RESTRICTED | FINAL).bitwiseAND(~GEOMETRY_STORED)
-    return pairs.select("startid", "endid", F.col("verid").alias("via"), (F.col("c1") + F.col("c2")).alias("cost"), bits.alias("type"), F.when(F.col("fw") == F.col("tw"), F.col("fw")).otherwise(F.lit(-1)).alias("origid"))
+    return pairs.select("startid", "endid", F.col("verid").alias("via"), *[(F.col(f"{c}_in") + F.col(f"{c}_out")).alias(c) for c in sums], bits.alias("type"), F.when(F.col("fw") == F.col("tw"), F.col("fw")).otherwise(F.lit(-1)).alias("origid"))
+
+
+def restricted_graph(segs: DataFrame, restrictions: DataFrame, vertex: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (startid, endid, cost, timecost, type, origid, via) that obey turn restrictions, new points (verid, lat, lon), and arrivals (verid, arrival).
+
+    segs: segments() with hops, and oneway, type, timecost, in the direction of travel. A segment is split in the middle of its hop at a restricted
+    end, in the middle of its only hop if both ends are; the halves at the end become shortcuts over it, one for every turn allowed. A path may still
+    begin at a restricted point, and end there at its arrival: routes() requests take arrival for dst where there is one. Restrictions that
+    name the same turn twice count once; null ends and unknown points take no part.
+    """
+    at = restrictions.select(F.col("vervia").alias("verid")).where("verid is not null").distinct()
+    mark = lambda end, name: at.select(F.col("verid").alias(end), F.lit(True).alias(name))
+    marked = segs.where("startid <> endid").join(mark("startid", "_s"), "startid", "left").join(mark("endid", "_e"), "endid", "left")
+    marked = cut(marked.withColumn("_s", F.coalesce("_s", F.lit(False))).withColumn("_e", F.coalesce("_e", F.lit(False))))
+    free, hit = marked.where("not _s and not _e"), marked.where("_s or _e")
+    one = F.col("_s") & F.col("_e") & (F.col("hops") == 1)
+    # Each split has a key of its own: the segment's way and number, and which end it is at.
+    splits = hit.select("wayid", "segment", F.explode(F.filter(F.array(F.when(F.col("_s"), 0), F.when(F.col("_e") & ~one, 1)), lambda k: k.isNotNull())).alias("side"), "startid", "second", "before", "endid")
+    splits = splits.select("wayid", "segment", "side", F.when(F.col("side") == 0, F.col("startid")).otherwise(F.col("before")).alias("a"), F.when(F.col("side") == 0, F.col("second")).otherwise(F.col("endid")).alias("b"))
+    first_free = (vertex.agg(F.max("verid")).first()[0] or 0) + 1
+    arriving = at.join(vertex.select("verid"), "verid", "left_semi").select(F.lit(None).cast(segs.schema["wayid"].dataType).alias("wayid"), F.lit(None).cast(segs.schema["segment"].dataType).alias("segment"), F.lit(2).alias("side"), F.col("verid").alias("a"), F.col("verid").alias("b"))
+    new = splits.unionByName(arriving)
+    new = cut(new.select("*", F.xxhash64("wayid", "segment", "side", "a").alias("_k")))
+    # Numbers by ranges of the key: counted per partition first, so that no window holds all rows.
+    new = cut(new.repartitionByRange("_k", "wayid", "segment", "side", "a").sortWithinPartitions("_k", "wayid", "segment", "side", "a").withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    sizes, start, begins = {r["_p"]: r["count"] for r in new.groupBy("_p").count().collect()}, first_free, {}
+    for part in sorted(sizes):  # a row per partition
+        begins[part], start = start, start + sizes[part]
+    begin = F.create_map(*[F.lit(x) for pair in begins.items() for x in pair]) if begins else F.create_map(F.lit(0), F.lit(first_free))
+    new = new.withColumn("new", (begin[F.col("_p")] + F.col("_m").bitwiseAND((1 << 33) - 1)).cast("bigint"))
+    place = lambda end: vertex.select(F.col("verid").alias(end), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon"))
+    points = new.join(place("a"), "a").join(place("b"), "b").select(F.col("new").alias("verid"), ((F.col("a_lat") + F.col("b_lat")) / 2).alias("lat"), ((F.col("a_lon") + F.col("b_lon")) / 2).alias("lon"))
+    own = lambda side, name: new.where(F.col("side") == side).select("wayid", "segment", F.col("new").alias(name))
+    split = hit.join(own(0, "n0"), ["wayid", "segment"], "left").join(own(1, "n1"), ["wayid", "segment"], "left")
+    c0 = F.when(F.col("_s"), F.floor(F.col("first") / 2)).otherwise(0)
+    c1 = F.when(one, F.col("cost") - c0).when(F.col("_e"), F.floor(F.col("last") / 2)).otherwise(0)
+    seconds = lambda metres: F.when(F.col("cost") > 0, F.floor(F.col("timecost") * metres / F.col("cost"))).otherwise(0)
+    split = split.select("*", c0.cast("int").alias("c0"), c1.cast("int").alias("c1"))
+    split = split.select("*", seconds(F.col("c0")).cast("int").alias("t0"), F.when(one, F.col("timecost") - seconds(F.col("c0"))).otherwise(seconds(F.col("c1"))).cast("int").alias("t1"), F.coalesce("n1", "n0").alias("m1"))
+    split = cut(split)
+    start_half = split.where("_s").select(F.col("startid").alias("verid"), F.col("n0").alias("node"), "wayid", F.col("c0").alias("cost"), F.col("t0").alias("timecost"), "type", "oneway")
+    end_half = split.where("_e").select(F.col("endid").alias("verid"), F.col("m1").alias("node"), "wayid", F.col("c1").alias("cost"), F.col("t1").alias("timecost"), "type", "oneway")
+    half_out = start_half.unionByName(end_half.where("not oneway")).drop("oneway")
+    half_in = end_half.unionByName(start_half.where("not oneway")).drop("oneway")
+    inner = split.where(~one).select(
+        F.when(F.col("_s"), F.col("n0")).otherwise(F.col("startid")).alias("startid"), F.when(F.col("_e"), F.col("m1")).otherwise(F.col("endid")).alias("endid"),
+        (F.col("cost") - F.col("c0") - F.col("c1")).alias("cost"), (F.col("timecost") - F.col("t0") - F.col("t1")).alias("timecost"), F.col("type").bitwiseOR(F.lit(TURN_RESTRICTED)).alias("type"), F.col("wayid").alias("origid"), "oneway",
+    )
+    plain = free.select("startid", "endid", "cost", "timecost", "type", F.col("wayid").alias("origid"), "oneway").unionByName(inner)
+    columns = ("startid", "endid", "cost", "timecost", "type", "origid", F.lit(None).cast("bigint").alias("via"))
+    arrivals = new.where("side = 2").select(F.col("a").alias("verid"), F.col("new").alias("arrival"))
+    leaving = half_out.select(F.col("verid").alias("startid"), F.col("node").alias("endid"), "cost", "timecost", F.col("type").bitwiseOR(F.lit(TURN_RESTRICTED)).alias("type"), F.col("wayid").alias("origid"))
+    ending = half_in.join(arrivals, "verid").select(F.col("node").alias("startid"), F.col("arrival").alias("endid"), "cost", "timecost", F.col("type").bitwiseOR(F.lit(TURN_RESTRICTED)).alias("type"), F.col("wayid").alias("origid"))
+    edges = both_directions(plain).select(*columns).unionByName(turn_shortcuts(half_in, half_out, restrictions).select(*columns[:-1], F.col("via").cast("bigint").alias("via"))).unionByName(leaving.select(*columns)).unionByName(ending.select(*columns))
+    return dedupe_edges(edges), points, arrivals
 
 
 def distances(edges: DataFrame, sources: DataFrame, metric: str = "cost", hops: int | None = None, most: float | None = None) -> DataFrame:
@@ -217,6 +289,15 @@ def path_edges(paths: DataFrame) -> DataFrame:
     return paths.select("pair", F.posexplode(pairs).alias("pos", "step")).select("pair", "pos", F.col("step.a").alias("startid"), F.col("step.b").alias("endid"))
 
 
+def expanded(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """Paths with the point that each shortcut leads over (via, null where it leads over none) put between its ends."""
+    over = edges.select("startid", "endid", "via").where("via is not null")
+    steps = path_edges(paths).join(over, ["startid", "endid"], "left").groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("pos", "startid", "via"))).alias("steps"))
+    parts = F.flatten(F.transform("steps", lambda s: F.filter(F.array(s["startid"], s["via"]), lambda v: v.isNotNull())))
+    whole = F.when(F.col("steps").isNull(), F.col("path")).otherwise(F.concat(parts, F.slice("path", -1, 1)))
+    return paths.join(steps, "pair", "left").select("pair", "dist", whole.alias("path"))
+
+
 def path_ways(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """(pair, pos, way): the way that each step was made from, in its own direction or else the other; -1 where none is known."""
     steps = path_edges(paths)
