@@ -156,7 +156,7 @@ def restricted_graph(segs: DataFrame, restrictions: DataFrame, vertex: DataFrame
     split = hit.join(own(0, "n0"), ["wayid", "segment"], "left").join(own(1, "n1"), ["wayid", "segment"], "left")
     c0 = F.when(F.col("_s"), F.floor(F.col("first") / 2)).otherwise(0)
     c1 = F.when(one, F.col("cost") - c0).when(F.col("_e"), F.floor(F.col("last") / 2)).otherwise(0)
-    seconds = lambda metres: F.when(F.col("cost") > 0, F.floor(F.col("timecost") * metres / F.col("cost"))).otherwise(0)
+    seconds = lambda metres: F.when(F.col("cost") > 0, F.floor(F.col("timecost").cast("bigint") * metres / F.col("cost"))).otherwise(0)
     split = split.select("*", c0.cast("int").alias("c0"), c1.cast("int").alias("c1"))
     split = split.select("*", seconds(F.col("c0")).cast("int").alias("t0"), F.when(one, F.col("timecost") - seconds(F.col("c0"))).otherwise(seconds(F.col("c1"))).cast("int").alias("t1"), F.coalesce("n1", "n0").alias("m1"))
     split = cut(split)

@@ -125,11 +125,29 @@ _SEGMENTS = f"e AS ({_ENDS}), h AS (SELECT h.*, sum(CASE WHEN e.verid IS NULL TH
 
 
 def _segments(t: Callable[[str], DataFrame]) -> DataFrame:
-    ends = t("way").where("pos = 0 or verid % 3 = 0").select("verid").union(t("way").groupBy("wayid").agg(F.max_by("verid", "pos").alias("verid")).select("verid")).distinct()
-    return graph.segments(t("way"), t("vx"), ends)
+    return graph.segments(t("way"), t("vx"), _ends(t))
 
 
 register("q_edge_segments", f"WITH {_SEGMENTS} SELECT wayid, CAST(segment AS BIGINT) AS segment, startid, endid, cost, hops FROM g WHERE startid <> endid", _segments)
+_ALL_SEGMENTS = _SEGMENTS.split(", g AS (")[0] + ", g AS (SELECT wayid, segment, arg_min(startid, pos) AS startid, arg_max(endid, pos) AS endid, arg_max(startid, pos) AS before, arg_min(endid, pos) AS second, max(pos) + 1 AS endpos, count(*) AS hops FROM h WHERE endid IS NOT NULL AND startid <> endid GROUP BY wayid, segment)"
+
+
+def _ends(t: Callable[[str], DataFrame]) -> DataFrame:
+    return t("way").where("pos = 0 or verid % 3 = 0").select("verid").union(t("way").groupBy("wayid").agg(F.max_by("verid", "pos").alias("verid")).select("verid")).distinct()
+
+
+def _restricted(t: Callable[[str], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    segs = graph.segments(t("way"), t("vx"), _ends(t), hops=True).join(t("highway").select("wayid", tags.one_way(c("oneway"), c("highway")).alias("oneway")), "wayid")
+    return graph.restricted_graph(segs.withColumn("timecost", c("cost")).withColumn("type", F.lit(0)), t("restriction"), t("vx"))
+
+
+register(
+    "q_repaired_ends",
+    f"WITH {_ALL_SEGMENTS}, p AS (SELECT least(startid, endid) AS a, greatest(startid, endid) AS b FROM g GROUP BY 1, 2 HAVING count(*) > 1), s AS (SELECT wayid, verid, min(pos) AS seen FROM way GROUP BY 1, 2), x AS (SELECT g.* FROM g LEFT JOIN p ON p.a = least(startid, endid) AND p.b = greatest(startid, endid) JOIN s ON s.wayid = g.wayid AND s.verid = g.endid WHERE hops >= 2 AND (p.a IS NOT NULL OR s.seen < g.endpos)) SELECT verid FROM e UNION SELECT before FROM x UNION SELECT second FROM x WHERE startid = endid AND hops >= 3",
+    lambda t: graph.repaired_ends(t("way"), t("vx"), _ends(t)),
+)
+register("q_restricted_graph", None, lambda t: _restricted(t)[0])
+register("q_restricted_points", None, lambda t: _restricted(t)[1])
 register("q_edge_times", f"WITH {_SEGMENTS} SELECT g.wayid, g.startid, g.endid, CAST(floor(cost / (13 * 0.277778e0)) AS INT) AS seconds FROM g WHERE startid <> endid", lambda t: _segments(t).select("wayid", "startid", "endid", graph.travel_time(c("cost"), F.lit(13)).alias("seconds")))
 register(
     "q_edges_two_way",
