@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,6 +136,27 @@ def fulltext_ids(docs: DataFrame, exact: Sequence[str] = (), begins: Sequence[st
     return docs.select("docid").distinct()
 
 
+def token_index(docs: DataFrame) -> DataFrame:
+    """(token, docid): the inverted table of documents (docid, tokens), in order of tokens, so that a stored copy is only read where the words are.
+
+    Null and empty token lists have no row, repeated tokens of a document one.
+    """
+    rows = docs.select(F.explode("tokens").alias("token"), "docid").where("token is not null").distinct()
+    return rows.repartitionByRange("token", "docid").sortWithinPartitions("token", "docid")
+
+
+def indexed_ids(index: DataFrame, exact: Sequence[str] = (), begins: Sequence[str] = ()) -> DataFrame:
+    """(docid): fulltext_ids() over a token_index(): plain comparisons of tokens, which reach the scan, then one aggregation.
+
+    Without words it gives the documents that have any.
+    """
+    wanted = [F.col("token") == w for w in exact] + [F.col("token").startswith(p) for p in begins]
+    if not wanted:
+        return index.select("docid").distinct()
+    hits = index.where(reduce(or_, wanted)).select("docid", F.explode(F.array_compact(F.array(*[F.when(w, F.lit(k)) for k, w in enumerate(wanted)]))).alias("word"))
+    return hits.groupBy("docid").agg(F.size(F.collect_set("word")).alias("n")).where(F.col("n") == len(wanted)).select("docid")
+
+
 def fulltext_near(docs: DataFrame, curve: int, exact: Sequence[str] = (), begins: Sequence[str] = (), offset: int = 0, limit: int = PAGE) -> DataFrame:
     """(docid): a page of matches around a place, as far around as it takes to fill the page.
 

@@ -193,6 +193,8 @@ register(
     lambda t: search.fulltext_near(_documents(t), 1234567, ["line"], offset=3, limit=20),
 )
 SQL["q_fulltext_location"] = SQL["q_fulltext_location"].replace("FROM lowered) h AS", "FROM lowered), h AS")
+register("q_fulltext_index", None, lambda t: search.indexed_ids(search.token_index(_documents(t)), ["line"], ["carr"]))
+SQL["q_fulltext_index"] = SQL["q_fulltext_prefix"]
 register("q_fulltext_documents", None, lambda t: search.search_documents(t("tagged"), t("vx").withColumnRenamed("verid", "objectid"), FIXED))
 register("q_stored_tags", None, lambda t: (lambda free, fixed: free.select("objectid", F.concat("key", F.lit("~"), "value").alias("tag")).unionByName(fixed))(*search.store_tags(t("tagged"), FIXED)))
 

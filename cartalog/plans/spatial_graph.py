@@ -235,7 +235,7 @@ register("q_time_arith", "SELECT event_id, CAST((s + d) % 86400 AS INT) AS sec,
 register("q_weekday", "SELECT o_orderkey, CAST(isodow(o_orderdate) - 1 AS INT) AS weekday FROM orders", lambda t: t("orders").select("o_orderkey", times.weekday(c("o_orderdate")).alias("weekday")))
 register("q_date_valid", "SELECT p_partkey, y, m, d, try_cast(printf('%04d-%02d-%02d', y, m, d) AS DATE) IS NOT NULL AS valid FROM (SELECT p_partkey, CAST(1999 + p_partkey % 6 AS INT) AS y, CAST(p_partkey % 14 AS INT) AS m, CAST(p_partkey % 33 AS INT) AS d FROM part)", lambda t: t("part").selectExpr("p_partkey", "CAST(1999 + p_partkey % 6 AS INT) AS y", "CAST(p_partkey % 14 AS INT) AS m", "CAST(p_partkey % 33 AS INT) AS d").withColumn("valid", times.valid_date(c("y"), c("m"), c("d"))))
 register("q_moment", "SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) + INTERVAL 86399 SECOND AS last, CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) AS iso FROM orders", lambda t: t("orders").select("o_orderkey", times.parse_moment(F.date_format("o_orderdate", "yyyyMMdd"), True).cast("timestamp_ntz").alias("last"), times.parse_moment(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("iso")))
-register("q_time_compare", "SELECT a.service_id, a.start_date < b.end_date AS before, a.end_date - a.start_date AS days FROM calendar a JOIN calendar b ON b.service_id = a.service_id", lambda t: t("calendar").select("service_id", (c("start_date") < c("end_date")).alias("before"), F.datediff("end_date", "start_date").cast("bigint").alias("days")))
+register("q_time_compare", "SELECT stop_time_id, arrival < departure AS before, departure - arrival AS seconds FROM stop_times", lambda t: (lambda a, b: t("stop_times").select("stop_time_id", (a < b).alias("before"), (b - a).alias("seconds")))(*[times.seconds_of_day(times.time_text(c(x))) for x in ("arrival", "departure")]))
 
 # events, as a stream would have them
 register("q_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", lambda t: windowed_counts(t("events")).select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total")))
