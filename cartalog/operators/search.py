@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from cartalog.operators.conditions import FieldConditions
 #: Digits of the curve's number that are dropped, step by step, to look farther around a place; then no place at all.
 LEVELS = (2, 3, 4, 6, 8)
 PAGE = 10
+#: Conditions whose bits one number holds.
+WORD = 62
 
 
 def matching_ids(osm: DataFrame, conditions: Sequence[FieldConditions]) -> DataFrame:
@@ -23,11 +25,15 @@ def matching_ids(osm: DataFrame, conditions: Sequence[FieldConditions]) -> DataF
 
     One pass: a row's conditions are bits, an object's bits are OR-ed before the shuffle, and all must be set.
     """
-    bits = [F.when(c.column(), F.lit(1 << k)).otherwise(0) for k, c in enumerate(conditions)]
-    if not bits:
+    if not conditions:
         return osm.select("objectid").where("objectid is not null").distinct()
-    met = osm.select("objectid", sum(bits[1:], bits[0]).alias("met")).where("met > 0")
-    return met.groupBy("objectid").agg(F.bit_or("met").alias("met")).where(F.col("met") == (1 << len(bits)) - 1).select("objectid")
+    # A number holds the bits of WORD conditions; more conditions take more numbers.
+    groups = [conditions[k : k + WORD] for k in range(0, len(conditions), WORD)]
+    bits = [reduce(add, [F.when(c.column(), F.lit(1 << k).cast("bigint")).otherwise(0) for k, c in enumerate(group)]).alias(f"_met{g}") for g, group in enumerate(groups)]
+    names = [f"_met{g}" for g in range(len(groups))]
+    met = osm.select("objectid", *bits).where(reduce(or_, [F.col(n) > 0 for n in names]))
+    whole = reduce(and_, [F.col(n) == (1 << len(group)) - 1 for n, group in zip(names, groups, strict=True)])
+    return met.groupBy("objectid").agg(*[F.bit_or(n).alias(n) for n in names]).where(whole).select("objectid")
 
 
 def page(ids: DataFrame, offset: int = 0, limit: int = PAGE, column: str = "objectid") -> DataFrame:

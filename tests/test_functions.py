@@ -90,3 +90,16 @@ def test_tags(spark):
     assert one(spark, tags.is_road({"highway": F.lit("primary"), "access": F.lit("no")})) is False
     assert one(spark, tags.is_road({"highway": F.lit("primary"), "access": F.lit(None).cast("string")})) is True
     assert one(spark, tags.is_splittable(F.lit("phone"))) is True and one(spark, tags.area_prefix(F.lit("addr:zip"))) == "zip"
+
+
+def test_any_number_of_conditions(spark):
+    from cartalog.operators.conditions import key_is
+    from cartalog.operators.search import indexed_ids, matching_ids, token_index
+
+    osm = spark.createDataFrame([(o, f"k{k}", "v") for o in (1, 2) for k in range(70) if o == 1 or k != 65] + [(3, "k0", None)], "objectid int, key string, value string")
+    assert [r[0] for r in matching_ids(osm, [key_is(f"k{k}", "v") for k in range(70)]).collect()] == [1]
+    assert {r[0] for r in matching_ids(osm, [key_is("k0")]).collect()} == {1, 2, 3} == {r[0] for r in matching_ids(osm, []).collect()}
+    docs = spark.createDataFrame([(1, ["line", "carriage", "line"]), (2, ["line"]), (3, None), (4, [None, "carry", "line"])], "docid int, tokens array<string>")
+    index = token_index(docs)
+    assert {r[0] for r in indexed_ids(index, ["line"], ["carr"]).collect()} == {1, 4}
+    assert {r[0] for r in indexed_ids(index).collect()} == {1, 2, 4} and indexed_ids(index, ["none"]).count() == 0 == token_index(docs.limit(0)).count()
