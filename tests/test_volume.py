@@ -3,10 +3,7 @@
 import random
 import time
 
-import pytest
-from pyspark.sql import functions as F
-
-from cartalog.operators import spatial
+from cartalog.operators import graph, spatial
 from tests.test_proximity import metres
 
 
@@ -42,3 +39,25 @@ def test_reverse_geocode_of_a_crowd(spark):
     got = {(r["target"], r["area"]): r["value"] for r in rows if r["target"] % 20 == 0 or r["target"] >= 2_000}
     assert got == {k: v[2] for k, v in want.items()}
     assert {(2_000, "city"), (2_001, "street")} <= set(want) and mb < 5
+
+
+def test_turns_at_crowded_points(spark):
+    rng = random.Random(9)
+    ways = {v: list(range(60 * v, 60 * v + 60)) for v in range(60)}
+    halves = [(v, 10_000 + w, w, w % 50) for v, own in ways.items() for w in own] + [(0, 7, None, 3)]
+    kinds = {"no_left_turn": 40, "only_straight_on": 8, "stop": 5}
+    rules = [(rng.choice(own), rng.choice(own), v, kind) for v, own in ways.items() for kind, n in kinds.items() for _ in range(n)]
+    rules += [*rules[:9], (3, None, 0, "only_straight_on"), (4, None, 0, "no_left_turn"), (None, 5, 0, "no_left_turn"), (5, 6, None, "no_left_turn")]
+    half = spark.createDataFrame(halves, "verid bigint, node bigint, wayid bigint, cost int").selectExpr("*", "0 AS type")
+    turns = spark.createDataFrame(rules, "edgefrom bigint, edgeto bigint, vervia bigint, type string")
+    mb, rows = shuffled(spark, lambda: graph.turn_shortcuts(half, half, turns).select("startid", "endid", "via", "cost", "origid").collect())
+    no, only = {x[:3] for x in rules if x[3][:2] == "no"}, {x[:3] for x in rules if x[3][:4] == "only"}
+    limited, at = {(a, v) for a, _, v in only}, {}
+    for h in halves:
+        at.setdefault(h[0], []).append(h)
+    want = [
+        (a[1], b[1], v, a[3] + b[3], a[2] if a[2] is not None and a[2] == b[2] else -1)
+        for v, own in at.items() for a in own for b in own
+        if a[1] != b[1] and (None in (a[2], b[2]) or (a[2], b[2], v) not in no) and ((a[2], v) not in limited or (b[2] is not None and (a[2], b[2], v) in only))
+    ]
+    assert sorted(map(tuple, rows)) == sorted(want) and mb < 1
