@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from cartalog.llm.edits import distance
-from cartalog.llm.variants import alignment, assignment, close_edits, entities, same_entity_pairs, shortened, tokens
+from cartalog.llm.variants import NICKNAMES, alignment, assignment, close_edits, entities, link_block, plain, same_entity_pairs, shortened, tokens
 
 ALIKE = [
     ["Dovukera Stadtwerke", "Stadtw. Dovukera", "SW DOVUKERA", "Dovukeraer Stadtwerk e.K.", "Dovkuera - Stadtwerke Ltd.", "stadtwerke, dovukera & Co. KG"],
@@ -120,3 +120,23 @@ def test_tokens_and_edits(spark):
         d = min(distance(r["a"], r["b"]), 3)
         assert r["d"] == d
         assert r["met"] or d > (1 if min(len(r["a"]), len(r["b"])) < 6 else 2)
+
+
+def test_names_that_share_only_frequent_words(spark):
+    """However many names have a word, all that can be aligned under it are."""
+    rng = random.Random(6)
+    made = lambda k: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(k))
+    first = sorted({plain(w) for g in NICKNAMES for w in g.split()})
+    crowd = [["verkehr", made(4), *rng.choice([[], [made(3)], ["der", rng.choice(first)], [rng.choice(first), made(3)]])] for _ in range(300)]
+    for words in list(crowd):
+        w = rng.choice(words[1:])
+        near = rng.choice([[w[0]], [w[:3]], [w[:4], w[4:]], [w[0] + w[2::2]], ["ober" + w], [w, made(3)], [w, "der"], [w[:-1] + "x"]])
+        crowd.append([x for x in [*rng.sample([y for y in words if y is not w], len(words) - 1), *near] if x])
+    names = list({" ".join(sorted(w)): (" ".join(sorted(w)), w, rng.randint(1, 9)) for w in crowd}.values())
+    assert link_block(names, "verkehr") == link_block(names) and len(link_block(names)) > 100
+    # Both have rarer words than the ones they share.
+    rows = [(k, f"Nordland Reisedienst {made(5)}") for k in range(120)] + [(900, "Nordland Reisedienst Qwxylophon"), (901, "Nordland Reisedienst Qwxyl")] * 5
+    found = {r["id"]: r["entity"] for r in entities(spark.createDataFrame([("agency", i, n) for i, n in rows], "tab string, id int, name string")).collect()}
+    assert found[900] == found[901]
+    many = [f"word{made(3)}" for _ in range(20)]
+    assert alignment(["x", *many], ["x", *[w[:6] for w in many]]) is not None
